@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import locales
+from . import locales, mojibake
+
+
+def _garbled(spark, d):
+    links = table(spark, d, "link_metadata")
+    return mojibake.find_garbled(links, ["meta_id"], ["title", "description"], table(spark, d, "fetch_diagnostics"))
+
+
+def p3_found(spark, d):
+    return _garbled(spark, d).select("meta_id", "field_name")
+
+
+def p3_restored(spark, d):
+    """The original texts, where they can be had, and what had happened."""
+    return _garbled(spark, d).select("meta_id", "field_name", "restored", "chain")
 
 
 def p5_found(spark, d):
@@ -23,5 +37,5 @@ def p5_report(spark, d):
     return mapping.groupBy("locale_code", shown).agg(F.count("*").alias("n_spellings"), F.sum("n_rows").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_report)}
 ORACLES: dict[str, str] = {}
