@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 #: Least Jaccard similarity of token sets at which a value means a form.
 THRESHOLD = 0.55
 UNMATCHED = "unmatched"
+#: Forms of the reference list up to which they are shipped to every task.
+FORMS_BROADCAST = 20_000
 
 # What people call a language, by its code: three-letter codes,
 # a country's code used for the language, and names in other languages.
@@ -141,35 +145,38 @@ def map_locales(df: DataFrame, locales: DataFrame, value_col: str = "locale", th
     alone and values of more than 400 characters or 40 words, which name no
     locale, are ``unmatched``; with an empty list everything is.
     """
-    right = _forms(locales)
+    right = cut(_forms(locales))
     values = df.filter(F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("value")).agg(F.count("*").alias("n_rows"))
-    left = values.withColumn("tokens", _tokens("value"))
+    left = cut(values.withColumn("tokens", _tokens("value")))
+    small = right.limit(FORMS_BROADCAST + 1).count() <= FORMS_BROADCAST
 
     spread = left.select(F.explode("tokens").alias("t")).unionAll(right.select(F.explode("tokens").alias("t")))
-    rarity = spread.groupBy("t").agg(F.count("*").alias("n"))
+    # A token's number is its rank by rarity over both sides, so the order of
+    # numbers is that of rarity and the sets can be told by numbers alone.
+    counted = spread.groupBy("t").agg(F.count("*").alias("n"))
+    numbered = counted.select("t", (F.col("n") * F.lit(2**31) + F.pmod(F.xxhash64("t"), F.lit(2**31))).alias("r"))
 
     def ordered(side: DataFrame, key: str) -> DataFrame:
-        """Tokens by rarity, and the prefix that decides."""
-        ranked = side.select(key, F.explode("tokens").alias("t")).join(rarity, "t").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("s"))
-        return ranked.select(key, F.transform("s", lambda x: x["t"]).alias("tokens"), F.size("s").alias("size")).withColumn(
-            "prefix", F.expr(f"slice(tokens, 1, size - cast(ceil({threshold} * size - 1e-9) as int) + 1)")
-        )
+        """Tokens by rarity, and how many of the first decide."""
+        ranked = side.select(key, F.explode("tokens").alias("t")).join(numbered, "t").groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("set"))
+        return ranked.withColumn("first", F.expr(f"size(set) - cast(ceil({threshold} * size(set) - 1e-9) as int) + 1"))
 
     def postings(side: DataFrame, key: str, tag: str) -> DataFrame:
-        return side.select(F.col(key), F.posexplode("prefix").alias(f"at_{tag}", "t"), F.col("size").alias(f"size_{tag}"), F.col("tokens").alias(f"tokens_{tag}"))
+        return side.select(F.col(key), F.col("set").alias(f"set_{tag}"), F.posexplode(F.slice("set", 1, F.col("first"))).alias(f"at_{tag}", "r"))
 
     x, y = postings(ordered(left, "value"), "value", "x"), postings(ordered(right, "form_id"), "form_id", "y")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_x") + F.col("size_y")) - 1e-9)
-    fits = (F.col("size_y") >= threshold * F.col("size_x") - 1e-9) & (F.col("size_x") >= threshold * F.col("size_y") - 1e-9)
-    room = 1 + F.least(F.col("size_x") - F.col("at_x") - 1, F.col("size_y") - F.col("at_y") - 1)
-    # A pair may share several prefix tokens; only the first shared one has
-    # the most room, and it is the one of the least positions.
-    pairs = x.join(y, "t").filter(fits & (room >= need)).groupBy("value", "form_id").agg(F.first("tokens_x").alias("tokens_x"), F.first("tokens_y").alias("tokens_y"))
-    shared = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    scored = pairs.withColumn("similarity", shared / (F.size("tokens_x") + F.size("tokens_y") - shared)).filter(F.col("similarity") >= threshold - 1e-9)
-    named = scored.select("value", "form_id", "similarity").join(right.select("form_id", "locale_code", "form"), "form_id")
-    best = named.groupBy("value").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.length("locale_code").alias("l"), "locale_code", "form")).alias("b"))
-    return values.join(best, "value", "left").select(
+    size_x, size_y = F.size("set_x"), F.size("set_y")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (size_x + size_y) - 1e-9)
+    fits = (size_y >= threshold * size_x - 1e-9) & (size_x >= threshold * size_y - 1e-9)
+    room = 1 + F.least(size_x - F.col("at_x") - 1, size_y - F.col("at_y") - 1)
+    shared = F.size(F.array_intersect("set_x", "set_y"))
+    # Pairs are verified where they meet and only the best of a value go on;
+    # a pair that meets at several tokens does no harm there.
+    pairs = x.join(F.broadcast(y) if small else y, "r").filter(fits & (room >= need))
+    scored = pairs.select("value", "form_id", (shared / (size_x + size_y - shared)).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
+    code = F.substring_index("form_id", "|", 1)
+    best = scored.groupBy("value").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.length(code).alias("l"), code.alias("locale_code"), F.expr("substring(form_id, instr(form_id, '|') + 1)").alias("form"))).alias("b"))
+    return left.select("value", "n_rows").join(best, "value", "left").select(
         F.col("value").alias(value_col),
         F.coalesce("b.locale_code", F.lit(UNMATCHED)).alias("locale_code"),
         F.col("b.form").alias("form"),
