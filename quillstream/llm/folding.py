@@ -14,7 +14,8 @@ OTHER = "օo ѡw ոn սu հh ցg ıi ǀl Ꭺa ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK
 MARKED = "ёë ЁË їï ЇÏ"
 
 TO_LATIN = {p[0]: p[1] for p in f"{CYRILLIC} {GREEK} {OTHER} {MARKED}".split() if p[0] != p[1] and ord(p[0]) > 127}
-TO_CYRILLIC = {p[1]: p[0] for p in f"{CYRILLIC} {MARKED}".split() if ord(p[0]) > 0x3FF}
+#: Of the Cyrillic letters, those of Russian stand for their look-alikes.
+TO_CYRILLIC = {p[1]: p[0] for p in f"{CYRILLIC} {MARKED}".split() if p[0] in "аеорсухёАВЕКМНОРСТХУЁЗ" and p[0] != p[1]}
 #: Greek letters in Cyrillic words go through the Latin letter they resemble.
 _VIA = {g: TO_CYRILLIC[latin] for g, latin in TO_LATIN.items() if latin in TO_CYRILLIC and "Ͱ" <= g <= "Ͽ"}
 TO_CYRILLIC_ALL = {**TO_CYRILLIC, **_VIA}
@@ -128,7 +129,7 @@ def chunks(text: str) -> list[tuple[int, int, str, str]]:
                     continue
         else:
             own = {s: sum(script_of(c) == s and not any(c in MAPS[o] for o in MAPS if o != s) for c in token) for s in mine}
-            target = max(mine, key=lambda s: (own[s], mine[s], s == overall))
+            target = max(mine, key=lambda s: (own[s], s == overall, mine[s]))
         table = MAPS[target]
         if all(script_of(c) in ("", target) or c in table for c in token):
             new = "".join(table.get(c, c) if script_of(c) not in ("", target) else c for c in token)

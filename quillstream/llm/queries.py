@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import locales, mojibake
+from . import locales, lookalikes, mojibake, residue
+
+
+def _residue(spark, d):
+    return residue.find_residue(table(spark, d, "link_metadata"), ["meta_id"], ["title", "description"]).filter("residue")
+
+
+def p2_found(spark, d):
+    return _residue(spark, d).select("meta_id", "field_name")
+
+
+def p2_report(spark, d):
+    """Kinds of residue by field, and how widely they recur."""
+    return _residue(spark, d).groupBy("field_name", F.coalesce("kind", F.lit("recurring")).alias("kind")).agg(F.count("*").alias("n_values"), F.max("n_hosts").alias("most_hosts"))
 
 
 def _garbled(spark, d):
@@ -37,5 +50,15 @@ def p5_report(spark, d):
     return mapping.groupBy("locale_code", shown).agg(F.count("*").alias("n_spellings"), F.sum("n_rows").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_report)}
+def p6_found(spark, d):
+    done = lookalikes.unify(table(spark, d, "link_metadata"), ["meta_id"], ["title", "site_name"])
+    return done.filter("changed").select("meta_id", "field_name")
+
+
+def p6_unified(spark, d):
+    """All titles and site names in one form."""
+    return lookalikes.unify_all(table(spark, d, "link_metadata"), ["meta_id"], ["title", "site_name"]).select("meta_id", "field_name", "unified", "changed")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_restored, p5_found, p5_report, p6_found, p6_unified)}
 ORACLES: dict[str, str] = {}
