@@ -22,6 +22,7 @@ PARTLY, HOSTS = 0.75, 3
 # language. A value all of whose telling words are among them says nothing of
 # its own.
 SYSTEM_WORDS = """
+most something end while too per wait again that
 page pages site website web server host gateway address url link resource document content title titles description text summary excerpt
 headline tagline home homepage default sample placeholder untitled new blank empty test testing asdf qwerty xxx todo tbd tba lorem ipsum foo bar coming soon construction
 found find missing exist exists moved removed deleted unavailable available temporarily permanently requested request requests error errors fatal warning notice exception uncaught traceback
