@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import locales, lookalikes, mojibake, residue
+from . import locales, lookalikes, mojibake, residue, truncation
 
 
 def _residue(spark, d):
@@ -35,6 +35,16 @@ def p3_restored(spark, d):
     return _garbled(spark, d).select("meta_id", "field_name", "restored", "chain")
 
 
+def p4_found(spark, d):
+    return truncation.find_cut(table(spark, d, "link_metadata"), ["meta_id"], "description").select("meta_id")
+
+
+def p4_rates(spark, d):
+    """How often each site cuts its descriptions."""
+    links = table(spark, d, "link_metadata")
+    return truncation.cut_rates(links, truncation.find_cut(links, ["meta_id"], "description"), "description").withColumnRenamed("site", "site_id")
+
+
 def p5_found(spark, d):
     links, entries = table(spark, d, "link_metadata"), table(spark, d, "locales")
     mapping = locales.map_locales(links, entries)
@@ -60,5 +70,5 @@ def p6_unified(spark, d):
     return lookalikes.unify_all(table(spark, d, "link_metadata"), ["meta_id"], ["title", "site_name"]).select("meta_id", "field_name", "unified", "changed")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_restored, p5_found, p5_report, p6_found, p6_unified)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_restored, p4_found, p4_rates, p5_found, p5_report, p6_found, p6_unified)}
 ORACLES: dict[str, str] = {}
