@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import locales, lookalikes, mojibake, residue, truncation
+from . import leakage, locales, lookalikes, mojibake, residue, truncation
 
 
 def _residue(spark, d):
@@ -70,5 +70,16 @@ def p6_unified(spark, d):
     return lookalikes.unify_all(table(spark, d, "link_metadata"), ["meta_id"], ["title", "site_name"]).select("meta_id", "field_name", "unified", "changed")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_restored, p4_found, p4_rates, p5_found, p5_report, p6_found, p6_unified)}
+def p8_found(spark, d):
+    leaks = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.filter("not template").select("doc_id", "item_id")
+
+
+def p8_items(spark, d):
+    """Which items leaked, in how many documents, and how much at most."""
+    leaks = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.groupBy("item_id", "template").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("most_words"), F.max("item_words").alias("item_words"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_restored, p4_found, p4_rates, p5_found, p5_report, p6_found, p6_unified, p8_found, p8_items)}
 ORACLES: dict[str, str] = {}
