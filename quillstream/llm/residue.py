@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import folding, mojibake
 
 #: Share of a value's telling words that belong to the language of systems
@@ -255,7 +256,9 @@ def find_residue(df: DataFrame, keys: list[str], fields: list[str], url_col: str
             kept = batch.take(pa.array(at, pa.int32())).select([*keys, "_site", "field_name", "raw"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(kinds, pa.string()), pa.array(shares, pa.float64()), pa.array(slugs, pa.float64()), pa.array(signs, pa.string())], [*kept.schema.names, "kind", "coverage", "in_slug", "_sign"])
 
-    seen = cells.select(*keys, "_site", "field_name", "raw", "_name", "_url").mapInArrow(read, f"{types}, field_name string, raw string, kind string, coverage double, in_slug double, _sign string")
+    # Read once, as both the count of hosts and the values ask for it; what
+    # stays is the small part that may be residue.
+    seen = cut(cells.select(*keys, "_site", "field_name", "raw", "_name", "_url").mapInArrow(read, f"{types}, field_name string, raw string, kind string, coverage double, in_slug double, _sign string"))
     # Hosts are counted in two steps, so that a message met everywhere is
     # brought down to one row for each host before it is gathered.
     hosts = seen.groupBy("_sign", "_site").agg(F.count("*").alias("n")).groupBy("_sign").agg(F.count("_site").alias("n_hosts"), F.sum("n").alias("n_rows"))
