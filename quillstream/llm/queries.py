@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, locales, lookalikes, mojibake, residue, truncation
+from . import leakage, locales, lookalikes, mixing, mojibake, personal, residue, truncation
 
 
 def _residue(spark, d):
@@ -81,5 +81,31 @@ def p8_items(spark, d):
     return leaks.groupBy("item_id", "template").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("most_words"), F.max("item_words").alias("item_words"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_restored, p4_found, p4_rates, p5_found, p5_report, p6_found, p6_unified, p8_found, p8_items)}
+#: Vocabulary that tokens are counted by, and its splitting pattern.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def p9_mixed(spark, d, tokenizer=TOKENIZER, pattern=PATTERN):
+    counter = mixing.token_counter(spark, tokenizer, pattern)
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), counter)
+
+
+def p9_shares(spark, d, tokenizer=TOKENIZER, pattern=PATTERN):
+    """The shares reached beside those aimed at."""
+    return mixing.shares(p9_mixed(spark, d, tokenizer, pattern), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark, d):
+    mentions = personal.find_personal(table(spark, d, "documents"), table(spark, d, "members"))
+    return mentions.select("doc_id", "pii_type", "found_text").distinct()
+
+
+def p10_redacted(spark, d):
+    """All texts with typed placeholders in the place of what is personal."""
+    documents = table(spark, d, "documents")
+    return personal.redact(documents, personal.find_personal(documents, table(spark, d, "members")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_restored, p4_found, p4_rates, p5_found, p5_report, p6_found, p6_unified, p8_found, p8_items, p9_mixed, p9_shares, p10_found, p10_redacted)}
 ORACLES: dict[str, str] = {}
