@@ -38,35 +38,38 @@ MONTHS = frozenset("january february march april may june july august september
 _BEFORE_PLACE = frozenset("in von nach bei aus at of near above to from à de vers d’ über stadt".split())
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text in lower case: without remarks in brackets,
-    punctuation and layout."""
-    text = _REMARK.sub(" ", text)
-    return [w for w in (t.strip(_EDGE).lower().replace("’", "'") for t in text.split()) if w]
-
-
 def template_of(text: str) -> tuple[list[str], list[str]]:
-    """(words, typed words): numbers, names, months and units are replaced by
+    """(words, typed words) in lower case, without remarks in brackets,
+    punctuation and layout. In the typed words numbers, names, months and units are replaced by
     placeholders of their kind. A name is a capitalised word inside of a
     sentence; where nouns are capitalised as well, one that follows a
     preposition of place."""
-    raw = [w for w in (t.strip(_EDGE) for t in _REMARK.sub(" ", text).split()) if w]
-    typed = []
-    before = ""
-    for w in raw:
-        low = w.lower().replace("’", "'")
-        if _NUMBER.fullmatch(w):
-            typed.append("<number>")
-        elif low in MONTHS:
-            typed.append("<month>")
-        elif low in UNITS:
-            typed.append("<unit>")
-        elif w[:1].isupper() and before in _BEFORE_PLACE:
-            typed.append("<name>")
-        else:
-            typed.append(low)
-        before = low
-    return [w.lower().replace("’", "'") for w in raw], typed
+    words, typed, place = [], [], False
+    if len(_KINDS) > 200_000:
+        _KINDS.clear()
+    for t in _REMARK.sub(" ", text).split():
+        kind = _KINDS.get(t)
+        if kind is None:
+            kind = _KINDS[t] = _kind(t)
+        low, slot, capital, opens = kind
+        if low:
+            words.append(low)
+            typed.append(slot or ("<name>" if capital and place else low))
+            place = opens
+    return words, typed
+
+
+#: What is known of a word as it stands; words repeat.
+_KINDS: dict[str, tuple[str, str, bool, bool]] = {}
+
+
+def _kind(token: str) -> tuple[str, str, bool, bool]:
+    """(word, placeholder if it always has one, whether it is capitalised,
+    whether a place may follow)."""
+    bare = token.strip(_EDGE)
+    low = bare.lower().replace("’", "'")
+    slot = "<number>" if _NUMBER.fullmatch(bare) else "<month>" if low in MONTHS else "<unit>" if low in UNITS else ""
+    return low, slot, bare[:1].isupper(), low in _BEFORE_PLACE
 
 
 def _windows(ids: np.ndarray, size: int) -> np.ndarray:
