@@ -5,10 +5,11 @@ from __future__ import annotations
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
 from . import residue
 
 #: Least number of times that a trigram or an opening is met for it to tell.
@@ -24,25 +25,31 @@ CUT_MARKS = r"(?:\.{3,}|…|\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|â
 STOPS = r"(?:[.!?。！？]|ã€‚|ã\x80\x82|гЂ‚|縲[�・]?|｡｣|¡£|\x81B|�B)"
 CLOSERS = r"(?:[\"'”’»«)\]\s]|â€\x9d|â€™|â€|вЂќ|ÔÇØ|‚Äù|Ã¢â‚¬Â\x9d|Â»|窶�|�)"
 
-SQL = """
-WITH texts AS (  -- what stands before a mark of cutting, and how it ends
+#: Each text once: what stands before a mark of cutting, how it ends, its words
+#: without marks at their ends, and which of them end a sentence.
+WORDS_SQL = """
+WITH texts AS (
   SELECT *, regexp_like(shown, '@marks@@closers@*$') AS marked,
          regexp_replace(shown, '\\\\s*@marks@@closers@*$', '') AS body
   FROM (SELECT @keys@, site, field, rtrim(regexp_replace(field, '&hellip;|&#8230;', '…')) AS shown FROM @rows@)
 ),
-worded AS (
-  SELECT *, NOT marked AND regexp_like(body, '@stops@@closers@*$') AS stopped,
-         regexp_like(body, '[^\\\\s.!?]{2,}[.!?][”"»)]*\\\\s+[\\\\p{Lu}¿¡“„«№0-9]|[。！？]') AS later,
-         regexp_extract_all(lower(regexp_replace(translate(body, '”"»)]“„«([', ''), '[0-9]+', '0')),
+split AS (
+  SELECT @keys@, site, field, marked, body, NOT marked AND regexp_like(body, '@stops@@closers@*$') AS stopped,
+         regexp_extract_all(regexp_replace(translate(lower(body), '0123456789”"»)]“„«([', '0000000000'), '00+', '0'),
                             '[\\\\p{IsHan}\\\\p{IsHiragana}\\\\p{IsKatakana}ー]|[^\\\\s\\\\p{IsHan}\\\\p{IsHiragana}\\\\p{IsKatakana}ー。、]+[。、]?', 0) AS w
   FROM texts
-),
-placed AS (  -- every trigram, 0 inside of a sentence, 1 at the end of one, 2 at an end without a stop
+)
+SELECT @keys@, site, field, marked, stopped,
+       NOT stopped AND NOT marked AND regexp_like(body, '[^\\\\s.!?]{2,}[.!?][”"»)]*\\\\s+[\\\\p{Lu}¿¡“„«№0-9]|[。！？]') AS later,
+       transform(w, x -> rtrim('.,;:!?。、', x)) AS w, transform(w, x -> right(x, 1) IN ('.', '!', '?', '。')) AS ends
+FROM split
+"""
+SQL = """
+WITH placed AS (  -- every trigram, 0 inside of a sentence, 1 at the end of one, 2 at an end without a stop
   SELECT inline(transform(sequence(0, size(w) - 3), i -> struct(
-           concat_ws(' ', rtrim('.,;:!?。、', w[i]), rtrim('.,;:!?。、', w[i + 1])) AS two,
-           rtrim('.,;:!?。、', w[i + 2]) AS third,
-           CASE WHEN i = size(w) - 3 THEN if(stopped, 1, 2) WHEN right(w[i + 2], 1) IN ('.', '!', '?', '。') THEN 1 ELSE 0 END AS place)))
-  FROM worded WHERE size(w) >= 3
+           concat_ws(' ', w[i], w[i + 1]) AS two, w[i + 2] AS third,
+           CASE WHEN i = size(w) - 3 THEN if(stopped, 1, 2) WHEN ends[i + 2] THEN 1 ELSE 0 END AS place)))
+  FROM @worded@ WHERE size(w) >= 3
 ),
 trigrams AS (
   SELECT two, third, count_if(place = 0) AS inside, count_if(place = 1) AS at_end, count_if(place = 2) AS bare
@@ -56,15 +63,14 @@ begun AS (  -- words that a fragment may be the beginning of
 ),
 openings AS (
   SELECT opening, count(*) AS n, count_if(stopped) AS n_stopped FROM (
-    SELECT concat_ws(' ', slice(w, 1, 3)) AS opening, stopped FROM worded WHERE NOT marked AND size(w) >= 3)
+    SELECT concat_ws(' ', slice(w, 1, 3)) AS opening, stopped FROM @worded@ WHERE NOT marked AND size(w) >= 3)
   GROUP BY opening
 ),
 open_ends AS (
-  SELECT *, size(w) AS n_words,
-         CASE WHEN size(w) >= 3 THEN concat_ws(' ', rtrim('.,;:!?。、', w[size(w) - 3]), rtrim('.,;:!?。、', w[size(w) - 2])) END AS two,
-         CASE WHEN size(w) >= 3 THEN rtrim('.,;:!?。、', w[size(w) - 1]) END AS third,
+  SELECT *, CASE WHEN size(w) >= 3 THEN concat_ws(' ', w[size(w) - 3], w[size(w) - 2]) END AS two,
+         CASE WHEN size(w) >= 3 THEN w[size(w) - 1] END AS third,
          CASE WHEN size(w) >= 3 THEN concat_ws(' ', slice(w, 1, 3)) END AS opening
-  FROM worded WHERE NOT stopped AND trim(field) <> ''
+  FROM @worded@ WHERE NOT stopped AND trim(field) <> ''
 )
 SELECT @o_keys@, o.site, o.field, o.marked,
        CASE WHEN o.marked THEN 'marked'
@@ -84,6 +90,16 @@ def _is_residue(texts: pd.Series) -> pd.Series:
     return pd.Series([residue.classify(t)[0] is not None for t in texts], dtype=bool)
 
 
+def _run(spark: SparkSession, query: str, values: dict, name: str, rows: DataFrame) -> DataFrame:
+    view = f"texts_{uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    for key, value in {**values, name: view}.items():
+        query = query.replace(f"@{key}@", str(value))
+    out = spark.sql(query)
+    spark.catalog.dropTempView(view)
+    return out
+
+
 def find_cut(df: DataFrame, keys: list[str], text_col: str, site_col: str = "site_id") -> DataFrame:
     """One row for each text that was cut: keys, ``site``, ``reason``.
 
@@ -98,15 +114,11 @@ def find_cut(df: DataFrame, keys: list[str], text_col: str, site_col: str = "sit
     """
     spark = df.sparkSession
     given = df.select(*keys, F.col(site_col).alias("site"), F.col(text_col).alias("field")).filter(F.col(text_col).isNotNull())
-    view = f"texts_{uuid4().hex}"
-    given.createOrReplaceTempView(view)
     quoted = lambda p: p.replace("\\", "\\\\").replace("'", "\\'")
-    values = {"rows": view, "keys": ", ".join(keys), "o_keys": ", ".join(f"o.{k}" for k in keys), "marks": quoted(CUT_MARKS), "stops": quoted(STOPS), "closers": quoted(CLOSERS), "support": SUPPORT, "rarely": RARELY, "mostly": MOSTLY}
-    query = SQL
-    for name, value in values.items():
-        query = query.replace(f"@{name}@", str(value))
-    found = spark.sql(query).filter("reason is not null")
-    spark.catalog.dropTempView(view)
+    values = {"keys": ", ".join(keys), "o_keys": ", ".join(f"o.{k}" for k in keys), "marks": quoted(CUT_MARKS), "stops": quoted(STOPS), "closers": quoted(CLOSERS), "support": SUPPORT, "rarely": RARELY, "mostly": MOSTLY}
+    # The words are made once and written, as three parts of the query read them.
+    worded = scratch(_run(spark, WORDS_SQL, values, "rows", given))
+    found = _run(spark, SQL, values, "worded", worded).filter("reason is not null")
     # Only what would be found is asked whether it is residue.
     return found.filter(~_is_residue("field")).select(*keys, "site", "reason")
 
