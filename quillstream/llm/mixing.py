@@ -83,7 +83,8 @@ def mix(documents: DataFrame, targets: DataFrame, counter, total_tokens: int | N
     # demand(t) = D (t + a t (t - 1)) is c; of the two roots the one in 0..1.
     x, a = F.col("_c") / F.col("demand"), F.col("a")
     root = F.when(F.abs(a) < 1e-12, x).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * x)) / (2 * a))
-    timed = used.select(F.col("_doc").alias(doc_id), F.col("_source").alias("source"), "pass_no", "n_tokens", root.alias("position"))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), root))  # rounding may end beyond
+    timed = used.select(F.col("_doc").alias(doc_id), F.col("_source").alias("source"), "pass_no", "n_tokens", inside.alias("position"))
     return timed.repartitionByRange("position", doc_id, "pass_no").sortWithinPartitions("position", doc_id, "pass_no")
 
 
