@@ -185,7 +185,7 @@ def same_origin(a: Column, b: Column) -> Column:
     return (scheme(a) == scheme(b)) & (host(a) == host(b)) & effective_port(a).eqNullSafe(effective_port(b))
 
 
-def cache_key(signature: Column, prefix: str = "metalink:") -> Column:
+def cache_key(signature: Column, prefix: str = "meta:") -> Column:
     return F.concat(F.lit(prefix), F.sha2(signature, 256))
 
 

@@ -274,7 +274,7 @@ _LIVE = f"NOT coalesce({NOW_MS} > ({_EXPIRY}), false)"
 
 ORACLES: dict[str, str] = {
     "url_parse_loose": _LOOSE + "SELECT input_pos, url, parsed FROM p",
-    "url_cache_key": _LOOSE + "SELECT input_pos, 'metalink:' || sha256(parsed) AS cache_key FROM p WHERE parsed IS NOT NULL",
+    "url_cache_key": _LOOSE + "SELECT input_pos, 'meta:' || sha256(parsed) AS cache_key FROM p WHERE parsed IS NOT NULL",
     "url_proxy": "SELECT meta_id, 'https://proxy.example/?u=' || url_encode(resolved_url) AS proxied FROM link_metadata",
     "url_https": "SELECT meta_id, regexp_replace(resolved_url, '^(?i)http:', 'https:') AS url FROM link_metadata",
     "url_same_origin": """SELECT meta_id, lower(regexp_extract(original_url, '^([^/]*//[^/?#]*)', 1)) = lower(regexp_extract(canonical_url, '^([^/]*//[^/?#]*)', 1)) AS same_origin FROM link_metadata WHERE canonical_url IS NOT NULL""",
