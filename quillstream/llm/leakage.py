@@ -91,6 +91,8 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids: dict[str, int] = {}
+        #: Numbers of what is known of a word as it stands; words repeat.
+        self.known: dict[str, tuple] = {}
         self.keys, self.words, self.typed = [], [], []
         for key, text in items:
             words, typed = template_of(text or "")
@@ -101,6 +103,24 @@ class ItemIndex:
         self.exact = self._postings(self.words, EXACT)
         self.template = self._postings(self.typed, TEMPLATE)
 
+    def _number(self, text: str, words: list[int], typed: list[int]) -> None:
+        """Adds the numbers of what ``template_of`` gives for a text, 0 for what
+        no item has."""
+        known, get = self.known, self.ids.get
+        if len(known) > 200_000:
+            known.clear()
+        name, place = get("<name>", 0), False
+        for t in _REMARK.sub(" ", text).split():
+            kind = known.get(t)
+            if kind is None:
+                low, slot, capital, opens = _kind(t)
+                other = get(slot or low, 0)
+                kind = known[t] = (get(low, 0), other, name if capital and not slot else other, opens) if low else ()
+            if kind:
+                words.append(kind[0])
+                typed.append(kind[2] if place else kind[1])
+                place = kind[3]
+
     @staticmethod
     def _postings(texts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes = [_windows(t, size) for t in texts]
@@ -116,9 +136,10 @@ class ItemIndex:
     def _join(windows: np.ndarray, postings: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (place in the corpus, item, place in the item) with one window."""
         hashes, item, place = postings
-        low, high = np.searchsorted(hashes, windows, "left"), np.searchsorted(hashes, windows, "right")
-        n = np.where(windows != 0, high - low, 0)
-        at = np.repeat(np.arange(len(windows)), n)
+        whole = np.flatnonzero(windows)
+        low, high = np.searchsorted(hashes, windows[whole], "left"), np.searchsorted(hashes, windows[whole], "right")
+        n = high - low
+        at = np.repeat(whole, n)
         offset = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         hit = np.repeat(low, n) + offset
         return at, item[hit], place[hit]
@@ -127,11 +148,9 @@ class ItemIndex:
         """(text, item, words of the passage, words of the item, changed
         throughout) for every text that holds an item's passage."""
         words, typed, starts = [], [], [0]
-        get = self.ids.get
         for t in texts:
-            w, ty = template_of(t) if t else ([], [])
-            words += [get(x, 0) for x in w]
-            typed += [get(x, 0) for x in ty]
+            if t:
+                self._number(t, words, typed)
             words.append(0)
             typed.append(0)
             starts.append(len(words))
@@ -153,28 +172,33 @@ class ItemIndex:
                 rich = counts[inverse] >= need[item]
                 pairs = np.unique(np.stack([text[rich], item[rich]], 1), axis=0) if rich.any() else np.zeros((0, 2), int)
                 out += [(int(t), int(i), size == TEMPLATE) for t, i in pairs]
-        found = {}
-        for t, i, changed in sorted(set(out)):
-            if (t, i) in found:
-                continue
+        # The way a pair was seeded says nothing of its passage: each is read as
+        # written first, and by its template only if that isn't enough.
+        templates: dict[tuple[int, int], bool] = {}
+        for t, i, by_template in out:
+            templates[t, i] = templates.get((t, i), False) or by_template
+        found = []
+        for (t, i), by_template in sorted(templates.items()):
             a, b = starts[t], starts[t + 1] - 1
-            span = self._passage(ids[a:b], self.words[i], EXACT)
-            if span < len(self.words[i]) * SHARE - 1 and changed:
-                span = self._consistent(ids[a:b], kinds[a:b], i)
-            if span >= len(self.words[i]) * SHARE - 1:
-                found[t, i] = (t, self.keys[i], span, len(self.words[i]), changed)
-        return list(found.values())
+            least = len(self.words[i]) * SHARE - 1
+            span, changed = self._passage(ids[a:b], self.words[i], EXACT), False
+            if span < least and by_template:
+                span, changed = self._consistent(ids[a:b], kinds[a:b], i), True
+            if span >= least:
+                found.append((t, self.keys[i], span, len(self.words[i]), changed))
+        return found
 
     @staticmethod
     def _passage(text: np.ndarray, item: np.ndarray, size: int) -> int:
         """Words of the item in its longest connected passage in the text."""
         where: dict[int, list[int]] = {}
-        for j, h in enumerate(_windows(item, size)):
-            where.setdefault(int(h), []).append(j)
+        windows, own = _windows(text, size), _windows(item, size)
+        for j, h in enumerate(own.tolist()):
+            where.setdefault(h, []).append(j)
         runs: list[list[int]] = []  # first and last place in the text, in the item, words matched
         open_runs: list[list[int]] = []
-        for i, h in enumerate(_windows(text, size)):
-            for j in where.get(int(h), ()) if h else ():
+        for i in np.flatnonzero((windows != 0) & np.isin(windows, own)).tolist():
+            for j in where[int(windows[i])]:
                 best = None
                 for r in open_runs:
                     di, dj = i - r[1], j - r[3]
@@ -239,7 +263,8 @@ class ItemIndex:
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item of which it holds a connected
     passage of at least a third of the item's words: ids, ``n_words`` (of the
-    passage), ``item_words`` and ``template`` (found by its template).
+    passage), ``item_words`` and ``template`` (its passage holds by the template
+    only, not as written).
 
     Texts are canonicalised: case, punctuation, layout and remarks in brackets
     go; for templates, numbers, names, months and units become placeholders.

@@ -141,6 +141,16 @@ def test_leaks(spark):
     assert leakage.find_leaks(documents, items.limit(0)).count() == 0 and leakage.find_leaks(documents.limit(0), items).count() == 0
 
 
+def test_leaks_that_only_a_template_seeds(spark):
+    # A number at every seventh word leaves too few exact windows to seed the pair.
+    numbered = lambda first, n: " ".join(f"{first + i}" if i % 7 == 6 else WORDS[i] for i in range(n))
+    renamed = "In Ellerby " + " ".join(WORDS[200:290])
+    documents = spark.createDataFrame([(1, f"before {numbered(5000, 48)} after"), (2, numbered(5000, 30))], "doc_id int, text string")
+    items = spark.createDataFrame([(1, numbered(1000, 120)), (2, renamed)], "item_id bigint, text string")
+    found = leakage.find_leaks(documents, items).collect()
+    assert [(r["doc_id"], r["item_id"], r["template"]) for r in found] == [(1, 1, False)]
+
+
 # ---- mixing
 
 
