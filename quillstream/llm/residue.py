@@ -187,7 +187,8 @@ def _says_something(text: str) -> bool:
 def classify(raw: str, site: str | None = None) -> tuple[str | None, float]:
     """(kind, coverage) of a value: ``placeholder``, ``empty_value``,
     ``filler``, ``message`` (errors, maintenance, notices, defaults), or None;
-    the coverage is that by the language of systems where a trigger is there."""
+    the coverage is that by the language of systems, whether or not a trigger is
+    there."""
     marked = _MARKED.search(raw)
     if not marked and raw.isascii() and _says_something(raw):
         return None, 0.0
@@ -209,10 +210,9 @@ def classify(raw: str, site: str | None = None) -> tuple[str | None, float]:
         if _latin_share(bare) >= 0.9:
             return "filler", 1.0
         share, trigger, n = coverage(bare)
-        if trigger and n:
-            if share == 1.0:
-                return "message", 1.0
-            best = max(best, share)
+        if trigger and n and share == 1.0:
+            return "message", 1.0
+        best = max(best, share)
     return None, best
 
 
@@ -220,50 +220,67 @@ def find_residue(df: DataFrame, keys: list[str], fields: list[str], url_col: str
     """One row for each value of ``fields`` that may be residue: keys,
     ``field_name``, ``raw``, ``kind``, ``coverage`` (share of the telling words
     that systems use), ``in_slug`` (share of them that the page's address
-    has), ``n_hosts`` and ``n_rows`` (of the values alike) and ``residue``.
+    has), ``in_other`` (share of them that the row's other fields have, if those
+    aren't residue), ``n_hosts`` and ``n_rows`` (of the values alike) and ``residue``.
 
     Unfilled placeholders, rendered empty values and filler are told by their
     form. A message is told by saying nothing else: all its telling words are
     those of systems, in any of the languages, and the address doesn't bear
-    them out. Where only most of them are, it has to recur on several hosts
-    beside unlike addresses. Edge cases: null values give no row, empty ones
+    them out. Where only most of them are, or none is telling of a message, it
+    has to recur on several hosts beside unlike addresses and unlike other
+    fields. A value with few words of systems is none however widely it recurs,
+    as set headings of unlike pages recur in the same way. Edge cases: null values give no row, empty ones
     are no residue; disguised, garbled and cut messages are read through their
     disguise; repeated rows come out each, and count; other columns are
     ignored; texts are read whole.
     """
-    cells = df.select(*keys, F.col(site_col).alias("_site"), F.col(site_name_col).alias("_name"), F.col(url_col).alias("_url"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw")) for f in fields])).alias("_c"))
-    cells = cells.select(*keys, "_site", "_name", "_url", "_c.field_name", "_c.raw").filter(F.col("raw").isNotNull())
+    cells = df.select(*keys, F.col(site_col).alias("_site"), F.col(site_name_col).alias("_name"), F.col(url_col).alias("_url"), *[F.col(f).alias(f"_field_{k}") for k, f in enumerate(fields)])
     types = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in [*keys, "_site"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple] = {}
+
+        def of(raw: str, name: str | None) -> tuple[str | None, float]:
+            if len(known) > 50_000:
+                known.clear()
+            if (raw, name) not in known:
+                known[raw, name] = classify(raw, name)
+            return known[raw, name]
+
         for batch in batches:
-            at, kinds, shares, slugs, signs = [], [], [], [], []
-            for i, (raw, name, url) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("raw", "_name", "_url")), strict=True)):
-                if len(known) > 50_000:
-                    known.clear()
-                if (raw, name) not in known:
-                    known[raw, name] = classify(raw, name)
-                kind, share = known[raw, name]
-                if kind or share >= PARTLY:
-                    words = [w for w in _TOKEN.findall(strip_site(raw, name).lower()) if w not in _STOP]
-                    slug = set(re.split(r"[^a-z0-9]+", (url or "").lower().rsplit("/", 1)[-1]))
-                    at.append(i)
-                    kinds.append(kind)
-                    shares.append(share)
-                    slugs.append(sum(w in slug for w in words) / len(words) if words else 0.0)
-                    signs.append(re.sub(r"\d+", "0", unicodedata.normalize("NFKC", strip_site(raw, name)).casefold()).strip())
-            kept = batch.take(pa.array(at, pa.int32())).select([*keys, "_site", "field_name", "raw"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(kinds, pa.string()), pa.array(shares, pa.float64()), pa.array(slugs, pa.float64()), pa.array(signs, pa.string())], [*kept.schema.names, "kind", "coverage", "in_slug", "_sign"])
+            at, names, raws, kinds, shares, slugs, others, signs = [], [], [], [], [], [], [], []
+            for i, (name, url, *values) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_name", "_url", *[f"_field_{k}" for k in range(len(fields))])), strict=True)):
+                for field, raw in zip(fields, values, strict=True):
+                    if raw is None:
+                        continue
+                    kind, share = of(raw, name)
+                    if kind or share >= PARTLY:
+                        bare = strip_site(raw, name)
+                        words = [w for w in _TOKEN.findall(bare.lower()) if w not in _STOP]
+                        slug = set(re.split(r"[^a-z0-9]+", (url or "").lower().rsplit("/", 1)[-1]))
+                        # A field that is residue itself bears nothing out.
+                        rest = [v for f, v in zip(fields, values, strict=True) if f != field and v is not None]
+                        said = {w for v in rest if not of(v, name)[0] for w in _TOKEN.findall(v.lower())}
+                        at.append(i)
+                        names.append(field)
+                        raws.append(raw)
+                        kinds.append(kind)
+                        shares.append(share)
+                        slugs.append(sum(w in slug for w in words) / len(words) if words else 0.0)
+                        others.append(sum(w in said for w in words) / len(words) if words else 0.0)
+                        signs.append(re.sub(r"\d+", "0", unicodedata.normalize("NFKC", bare).casefold()).strip())
+            kept = batch.take(pa.array(at, pa.int32())).select([*keys, "_site"])
+            made = [pa.array(names, pa.string()), pa.array(raws, pa.string()), pa.array(kinds, pa.string()), *(pa.array(x, pa.float64()) for x in (shares, slugs, others)), pa.array(signs, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*kept.schema.names, "field_name", "raw", "kind", "coverage", "in_slug", "in_other", "_sign"])
 
     # Read once, as both the count of hosts and the values ask for it; what
     # stays is the small part that may be residue.
-    seen = cut(cells.select(*keys, "_site", "field_name", "raw", "_name", "_url").mapInArrow(read, f"{types}, field_name string, raw string, kind string, coverage double, in_slug double, _sign string"))
+    seen = cut(cells.mapInArrow(read, f"{types}, field_name string, raw string, kind string, coverage double, in_slug double, in_other double, _sign string"))
     # Hosts are counted in two steps, so that a message met everywhere is
     # brought down to one row for each host before it is gathered.
     hosts = seen.groupBy("_sign", "_site").agg(F.count("*").alias("n")).groupBy("_sign").agg(F.count("_site").alias("n_hosts"), F.sum("n").alias("n_rows"))
     joined = seen.join(hosts, "_sign")
     told = F.col("kind").isin("placeholder", "empty_value", "filler")
     said = (F.col("kind") == "message") & (F.col("in_slug") < 0.99)
-    borne_out = F.col("kind").isNull() & (F.col("n_hosts") >= HOSTS) & (F.col("in_slug") < 0.5)
-    return joined.select(*keys, "field_name", "raw", "kind", "coverage", "in_slug", "n_hosts", "n_rows", F.coalesce(told | said | borne_out, F.lit(False)).alias("residue"))
+    borne_out = F.col("kind").isNull() & (F.col("n_hosts") >= HOSTS) & (F.col("in_slug") < 0.5) & (F.col("in_other") < 0.5)
+    return joined.select(*keys, "field_name", "raw", "kind", "coverage", "in_slug", "in_other", "n_hosts", "n_rows", F.coalesce(told | said | borne_out, F.lit(False)).alias("residue"))

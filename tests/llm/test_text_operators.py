@@ -35,6 +35,20 @@ def test_residue_operator(spark):
     assert residue.find_residue(df.limit(0), ["meta_id"], ["title"]).count() == 0
 
 
+def test_residue_that_recurs(spark):
+    # No word of it is telling of a message; hosts, address and title have to say.
+    value = "Enter a short description of the page (max. {} characters)"
+    rows = [(i, i, "The old signal box", value.format(i), None, f"https://a/the-night-market-{i}", "r") for i in range(3)]
+    rows += [(10 + i, i, "The night market", "Write a short summary", None, f"https://a/{i}", "r") for i in (0, 0, 1)]
+    rows += [(20 + i, i, "The page link", "Document link", None, f"https://a/document-link-{i}", "r") for i in range(3)]
+    rows += [(30 + i, i, "A summary of the mill site at its old address", "Site address summary", None, f"https://a/{i}", "r") for i in range(3)]
+    found = residue.find_residue(links(spark, rows), ["meta_id"], ["title", "description"]).filter("field_name = 'description'")
+    assert {r["meta_id"]: (r["n_hosts"], r["residue"]) for r in found.collect() if r["meta_id"] < 10} == {i: (3, True) for i in range(3)}
+    assert not found.filter("meta_id >= 10 and meta_id < 30 and residue").count()
+    borne_out = found.filter("meta_id >= 30").collect()
+    assert [(r["n_hosts"], r["residue"]) for r in borne_out] == [(3, False)] * 3 and all(r["in_other"] == 1 for r in borne_out)
+
+
 # ---- charsets
 
 
