@@ -71,15 +71,20 @@ open_ends AS (
          CASE WHEN size(w) >= 3 THEN w[size(w) - 1] END AS third,
          CASE WHEN size(w) >= 3 THEN concat_ws(' ', slice(w, 1, 3)) END AS opening
   FROM @worded@ WHERE NOT stopped AND trim(field) <> ''
+),
+copies AS (  -- a text's own ending, once for each row that has this very text
+  SELECT two, third, text, count(*) AS n FROM (SELECT two, third, xxhash64(field) AS text FROM open_ends WHERE two IS NOT NULL)
+  GROUP BY two, third, text
 )
 SELECT @o_keys@, o.site, o.field, o.marked,
        CASE WHEN o.marked THEN 'marked'
             WHEN o.later THEN 'sentence'
-            WHEN t.inside >= @support@ AND t.at_end + t.bare <= @rarely@ * t.inside THEN 'trigram'
-            WHEN b.n >= @support@ AND coalesce(t.inside + t.at_end, 0) = 0 AND coalesce(t.bare, 0) <= @rarely@ * b.n + 1 THEN 'word'
+            WHEN t.inside >= @support@ AND t.at_end + t.bare - c.n <= @rarely@ * t.inside THEN 'trigram'
+            WHEN b.n >= @support@ AND coalesce(t.inside + t.at_end, 0) = 0 AND coalesce(t.bare, 0) <= @rarely@ * b.n + c.n THEN 'word'
             WHEN p.n_stopped >= @support@ AND p.n_stopped >= @mostly@ * p.n THEN 'opening' END AS reason
 FROM open_ends o
 LEFT JOIN trigrams t ON o.two = t.two AND o.third = t.third
+LEFT JOIN copies c ON o.two = c.two AND o.third = c.third AND xxhash64(o.field) = c.text
 LEFT JOIN begun b ON o.two = b.two AND o.third = b.fragment
 LEFT JOIN openings p ON o.opening = p.opening
 """
@@ -105,7 +110,7 @@ def find_cut(df: DataFrame, keys: list[str], text_col: str, site_col: str = "sit
 
     ``reason`` is ``marked`` (dots show the cut), ``sentence`` (sentences with
     stops, then one without), ``trigram`` (the last three words are frequent
-    inside of texts and almost never end one), ``word`` (the last word only
+    inside of texts and almost never end another one), ``word`` (the last word only
     begins one that is frequent there) or ``opening`` (texts that begin so
     nearly always end with a stop). Residue (``residue``) is no cut text.
     Edge cases: null, empty and blank texts are not cut; texts of under three

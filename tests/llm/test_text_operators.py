@@ -115,6 +115,19 @@ def test_cut_texts(spark):
     assert truncation.find_cut(df.limit(0), ["meta_id"], "description").count() == 0
 
 
+def test_cut_texts_with_little_support(spark):
+    # Three uses inside are enough, and neither a text's own end nor its copies speak against them.
+    full = [f"The night market sells a floating library near {p}." for p in ("Ellerby", "Larkholm", "Tarnwick")]
+    cut = ["Everyone who sells a floating", "In Corvanne a keeper sells a floating", "In Corvanne a keeper sells a floating"]
+    heads = ["A walk to the market sells"]
+    rows = [(i, 1, None, t, None, None, None) for i, t in enumerate([*full, *cut[:1], *heads])]
+    found = lambda rows: sorted((r["meta_id"], r["reason"]) for r in truncation.find_cut(links(spark, rows), ["meta_id"], "description").collect())
+    assert found(rows) == [(3, "trigram")]
+    assert found([(i, 1, None, t, None, None, None) for i, t in enumerate([*full, *cut[1:]])]) == [(3, "trigram"), (4, "trigram")]
+    # Another text with the same end does speak against them.
+    assert found([(i, 1, None, t, None, None, None) for i, t in enumerate([*full, *cut[:2]])]) == []
+
+
 # ---- locales
 
 
