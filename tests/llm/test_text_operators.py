@@ -73,6 +73,14 @@ def test_clean_stays(model):
     assert repairer.repair("red�couvre")[0] == "garbled" and repairer.repair("TardÃƒÂ³ 19 aÃƒÂ±os")[1] == "Tardó 19 años"
 
 
+def test_every_language_that_fits_is_measured():
+    text = "Zéphyrine Quévrémont"
+    assert {"fr", "it", "pt"} <= set(mojibake.languages_of(text))
+    plain = mojibake.Repairer({"dictionaries": {}}).measure(text)[0]
+    for lang in ("fr", "it", "pt"):
+        assert mojibake.Repairer({"dictionaries": {lang: (text.encode() * 9, False)}}).measure(text)[0] < plain
+
+
 def test_garbled_operator(spark, model):
     rows = [(1, 1, "cafÃ© du port", None, None, None, "x"), (1, 1, "cafÃ© du port", None, None, None, "x"), (2, 1, "", SENTENCES[3], None, None, None), (3, 1, None, "a" * 50_000 + "Ã©", None, None, None)]
     df = links(spark, rows)
