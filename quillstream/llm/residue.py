@@ -157,7 +157,7 @@ def strip_site(text: str, site: str | None) -> str:
 def _variants(text: str) -> Iterator[str]:
     """A text as it reads, and as it would if it had been decoded rightly."""
     yield text
-    if not text.isascii() and len(text) <= 240 and "�" not in text and mojibake.suspicious(text):
+    if not text.isascii() and "�" not in text and mojibake.suspicious(text):
         for wrong in ("cp1252", "iso8859_1", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "cp932"):
             if (new := mojibake._mend_utf8(text, wrong)) is not None:
                 yield new
@@ -174,13 +174,14 @@ _MARKED = re.compile(r"[{\[<%$#@*_]|\bt\(")
 _KNOWN = _SYSTEM | _STOP | _LATIN
 
 
-def _says_something(text: str) -> bool:
+def _says_something(text: str, kept: bool = False) -> bool:
     """A quick look: whether a text has so many words of its own that it can't
-    be a message, not even with the name of its site behind."""
+    be a message, not even with the name of its site behind. ``kept``: by the
+    ASCII words alone, which every reading of a garbled text keeps."""
     words = text.lower().split()
     if len(words) < 5:
         return False
-    own = sum(w not in _KNOWN and w.strip("\"'“”‘’„«».,:;!?…()") not in _KNOWN and not w.isdigit() for w in words)
+    own = sum((w.isascii() or not kept) and w not in _KNOWN and w.strip("\"'“”‘’„«».,:;!?…()") not in _KNOWN and not w.isdigit() for w in words)
     return own > 5 and own * 4 > len(words)
 
 
@@ -198,7 +199,7 @@ def classify(raw: str, site: str | None = None) -> tuple[str | None, float]:
         return None, 0.0
     if (marked or text != raw) and placeholder_in(text):
         return "placeholder", 1.0
-    if _says_something(text) and (len(text) > 240 or not mojibake.suspicious(text)):
+    if _says_something(text) and (_says_something(text, True) or not mojibake.suspicious(text)):
         return None, 0.0
     best = 0.0
     for variant in _variants(text):

@@ -27,6 +27,13 @@ def test_residue(value, kind):
     assert residue.classify(value, "The Post")[0] == kind
 
 
+def test_residue_reads_long_garbled_messages():
+    bad = "Página no encontrada. La página no existe. " * 7
+    for _ in range(2):
+        bad = bad.encode().decode("iso8859_1")
+    assert len(bad) > 240 and residue.classify(bad, "The Post")[0] == "message"
+
+
 def test_residue_operator(spark):
     rows = [(1, 1, "Page not found", None, None, "https://a/b", "r"), (1, 1, "Page not found", None, None, "https://a/b", "r"), (2, None, "", "Null and void, a play", "S", None, None), (3, 2, "Coming soon", "x", "S", "https://a/coming-soon", "r")]
     df = links(spark, rows)
