@@ -221,14 +221,44 @@ def test_mixing(spark):
 
 
 def test_candidates():
-    members = personal.Members(["Dagny Peverell-Oake", "Hilmar Halvard"])
     text = (
         "Dagny Peverell-Oake: The nurse Solange T. Villacorta signed the petition; her address is Flat 5, 26 Upper Wharf Road in Velenwick, her mail s.villa [at] box [dot] example. "
         "Ring +44 (0)7700 900 052 or 0049-30-23125-042. Vote 0044-20-752 was carried. Passport QQ 32 12 72 C. I agree with H. Halvard. Frau Käthe\nSauerbier wohnt in Köhlerweg 153a, 08442 Quenasby. Le crédit 01.20.711 passe."
     )
-    got = {(k, text[a:b]) for k, a, b, *_ in personal.candidates(text, members)}
+    got = {(k, text[a:b]) for k, a, b, *_ in personal.candidates(text)}
     assert {("email", "s.villa [at] box [dot] example"), ("phone", "+44 (0)7700 900 052"), ("phone", "0049-30-23125-042"), ("id_number", "QQ 32 12 72 C"), ("address", "Flat 5, 26 Upper Wharf Road in Velenwick"), ("address", "Köhlerweg 153a, 08442 Quenasby"), ("name", "Solange T. Villacorta"), ("name", "Käthe\nSauerbier")} <= got
-    assert not any("Halvard" in t or "Dagny" in t for k, t in got if k == "name")
+    # The label of a speech is none; members are taken out later.
+    assert not any("Dagny" in t for k, t in got if k == "name") and ("name", "H. Halvard") in got
+
+
+def test_members_in_any_form(spark):
+    members = spark.createDataFrame([("Dagny Peverell-Oake",), ("Hilmar Halvard",), (None,), ("",)], "full_name string")
+    pool = [(g, s) for g in ("Solange", "Oswin", "Rupert") for s in ("Villacorta", "Crickmere", "Aldenhoven")]
+    docs = [(i, f"Then {g} {s} spoke to the clerk.") for i, (g, s) in enumerate(pool)]
+    forms = ["Hilmar Halvard", "H. Halvard", "Hilmar Halvrad", "Hilmer Halvard", "Halvard, Hilmar", "Dagny\nPeverell-Oake"]
+    docs += [(100 + i, f"Then {n} spoke to the clerk.") for i, n in enumerate(forms)]
+    found = personal.find_personal(spark.createDataFrame(docs, "doc_id int, text string"), members).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(9))
+    # Two letters off is another person.
+    other = personal.mention_keys("Hilmar", "", "Halbart", "hilmar halbart", False)
+    assert not {k for k, _ in other if k[0] in "=@~"} & {k for k, _ in personal.member_keys("Hilmar Halvard")} and not personal._near("halvard", "halbart")
+
+
+def test_names_in_frames_that_nothing_lists(spark):
+    given, last = "Arvid Bertille Cosima Drusilla Emeric Fabiola".split(), "Abernethy Bracegirdle Dankworth Eccleston Grimshaw Oxenham".split()
+    frames = ["Yesterday {} told the inquiry that nothing had changed.", "The minister met {} before the vote.", "It was {} who found the ledger.", "According to {}, the road was never repaired."]
+    names = [f"{g} {s}" for g in given for s in last]
+    docs = [(i, frames[i % 4].format(n) + f" The Hedgerow Bill is read. The Northern Isles wait for {i} ships. The Oswin Tower is closed.") for i, n in enumerate(names)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    found = {(r["doc_id"], r["found_text"]) for r in personal.find_personal(df, spark.createDataFrame([], "full_name string")).collect()}
+    assert len(found & set(enumerate(names))) >= 0.9 * len(names) and len(found - set(enumerate(names))) <= 1
+    # They come by the gazetteers and contexts: without them there are none.
+    votes = personal._voted
+    try:
+        personal._voted = lambda met: votes(met).withColumn("all", F.concat("votes", F.array(F.lit(0), F.lit(0), F.lit(0), F.lit(0)))).withColumn("use_alt", F.lit(False))
+        assert personal.find_personal(df, spark.createDataFrame([], "full_name string")).count() == 0
+    finally:
+        personal._voted = votes
 
 
 def test_personal_operator(spark):
