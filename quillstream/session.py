@@ -61,3 +61,17 @@ def melt(df: DataFrame, keys: list[str], fields: list[str], value: str = "raw")
     cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias(value)) for f in fields])
     cell = F.explode(F.filter(cells, lambda c: c[value].isNotNull())).alias("_cell")
     return df.select(*keys, cell).select(*keys, "_cell.field_name", f"_cell.{value}")
+
+
+#: Tasks that the rows of one key of ``salted_join`` are spread over.
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``left`` joined with ``right``, which is small beside it and has each key
+    once or a few times, by ``keys``. The rows of one key are spread over
+    ``salts`` tasks, to each of which the rows of ``right`` go, so that a key
+    with a third of all rows isn't one task's. Nulls don't meet."""
+    spread = left.withColumn("_salt", (F.rand() * salts).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
