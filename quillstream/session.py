@@ -45,7 +45,7 @@ def scratch(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"scratch-{os.urandom(8).hex()}")
     (df.select(*columns) if columns else df).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 
 
 def bounded_rows(df: DataFrame, bound: int = BROADCAST_ROWS) -> list | None:
