@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, salted_join
+from ..session import salted_join, scratch
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Rounds of expectation-maximisation, and of the classifier's training.
@@ -341,13 +341,13 @@ def find_personal(documents: DataFrame, members: DataFrame, doc_id: str = "doc_i
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([batch.column("_doc").take(pa.array(at, pa.int32())), *cols], names)
 
-    spans = cut(given.mapInArrow(read, types))
+    spans = scratch(given.mapInArrow(read, types))
     key = ["given", "alt", "surname", "full", "titled", "lctx", "rctx", "votes"]
     is_name = F.col("pii_type") == "name"
     # All that is counted of names is counted over what differs, so that a name
     # met in a third of all documents is one row.
-    met = cut(spans.filter(is_name).groupBy(*key).agg(F.count("*").alias("n")))
-    met = cut(_voted(met.join(_known(met, members, name_col), ["given", "alt", "surname", "full", "titled"], "left_anti")))
+    met = scratch(spans.filter(is_name).groupBy(*key).agg(F.count("*").alias("n")))
+    met = scratch(_voted(met.join(_known(met, members, name_col), ["given", "alt", "surname", "full", "titled"], "left_anti")))
 
     own = spans.filter(~is_name).groupBy("pii_type", "votes").agg(F.count("*").alias("n"))
     counts = own.unionByName(met.groupBy(F.lit("name").alias("pii_type"), F.col("all").alias("votes")).agg(F.sum("n").alias("n"))).collect()  # at most 3^7 patterns of a type
@@ -416,7 +416,7 @@ def _voted(met: DataFrame) -> DataFrame:
     surnames = linked.join(givens, "g", "left").groupBy("s").agg(enough(F.coalesce("_g", F.lit(False))).alias("_s"), F.max(F.coalesce("_g", F.lit(False)) & F.col("sure")).alias("_one"), (F.count_if(F.coalesce("_g", F.lit(False))) >= PARTNER_SHARE * F.count("*")).alias("_most")).filter("_s or _one and _most").select("s", F.lit(True).alias("_s"))
     known = met.join(givens.select(F.col("g").alias("given"), F.col("_g").alias("_g0")), "given", "left").join(givens.select(F.col("g").alias("alt"), F.col("_g").alias("_g1")), "alt", "left").join(surnames.withColumnRenamed("s", "surname"), "surname", "left")
     known = known.withColumn("_named", F.coalesce((F.col("_g0") | F.col("_g1") | initial) & F.col("_s"), F.lit(False)) & ~thing)
-    known = cut(known.withColumn("use_alt", F.col("_g0").isNull() & F.coalesce("_g1", F.lit(False))))
+    known = scratch(known.withColumn("use_alt", F.col("_g0").isNull() & F.coalesce("_g1", F.lit(False))))
 
     def context(side: str) -> DataFrame:
         one = known.groupBy(side, "full").agg(F.max("_named").alias("_named")).groupBy(side).agg(F.count("*").alias("n"), F.count_if("_named").alias("m"))
