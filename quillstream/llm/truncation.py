@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import scratch
 from . import residue
@@ -55,10 +53,20 @@ trigrams AS (
   SELECT two, third, count_if(place = 0) AS inside, count_if(place = 1) AS at_end, count_if(place = 2) AS bare
   FROM placed GROUP BY two, third
 ),
-begun AS (  -- words that a fragment may be the beginning of
+open_ends AS (
+  SELECT *, CASE WHEN size(w) >= 3 THEN concat_ws(' ', w[size(w) - 3], w[size(w) - 2]) END AS two,
+         CASE WHEN size(w) >= 3 THEN w[size(w) - 1] END AS third,
+         CASE WHEN size(w) >= 3 THEN concat_ws(' ', slice(w, 1, 3)) END AS opening
+  FROM @worded@ WHERE NOT stopped AND trim(field) <> ''
+),
+asked AS (  -- after which two words a fragment is asked for, and of what lengths
+  SELECT two, collect_set(length(third)) AS lengths FROM open_ends WHERE two IS NOT NULL GROUP BY two
+),
+begun AS (  -- words that such a fragment may be the beginning of
   SELECT two, fragment, sum(n) AS n FROM (
-    SELECT two, inside + at_end AS n, explode(transform(sequence(1, length(third) - 1), k -> left(third, k))) AS fragment
-    FROM trigrams WHERE length(third) > 1 AND inside + at_end > 0)
+    SELECT t.two, inside + at_end AS n, third, explode(filter(lengths, k -> k < length(third))) AS k
+    FROM trigrams t JOIN asked a ON t.two = a.two WHERE inside + at_end > 0)
+    LATERAL VIEW explode(array(left(third, k))) AS fragment
   GROUP BY two, fragment
 ),
 openings AS (
@@ -66,22 +74,17 @@ openings AS (
     SELECT concat_ws(' ', slice(w, 1, 3)) AS opening, stopped FROM @worded@ WHERE NOT marked AND size(w) >= 3)
   GROUP BY opening
 ),
-open_ends AS (
-  SELECT *, CASE WHEN size(w) >= 3 THEN concat_ws(' ', w[size(w) - 3], w[size(w) - 2]) END AS two,
-         CASE WHEN size(w) >= 3 THEN w[size(w) - 1] END AS third,
-         CASE WHEN size(w) >= 3 THEN concat_ws(' ', slice(w, 1, 3)) END AS opening
-  FROM @worded@ WHERE NOT stopped AND trim(field) <> ''
-),
 copies AS (  -- a text's own ending, once for each row that has this very text
   SELECT two, third, text, count(*) AS n FROM (SELECT two, third, xxhash64(field) AS text FROM open_ends WHERE two IS NOT NULL)
   GROUP BY two, third, text
 )
 SELECT @o_keys@, o.site, o.field, o.marked,
-       CASE WHEN o.marked THEN 'marked'
-            WHEN o.later THEN 'sentence'
-            WHEN t.inside >= @support@ AND t.at_end + t.bare - c.n <= @rarely@ * t.inside THEN 'trigram'
+       CASE WHEN t.inside >= @support@ AND t.at_end + t.bare - c.n <= @rarely@ * t.inside THEN 'trigram'
             WHEN b.n >= @support@ AND coalesce(t.inside + t.at_end, 0) = 0 AND coalesce(t.bare, 0) <= @rarely@ * b.n + c.n THEN 'word'
-            WHEN p.n_stopped >= @support@ AND p.n_stopped >= @mostly@ * p.n THEN 'opening' END AS reason
+            WHEN p.n_stopped >= @support@ AND p.n_stopped >= @mostly@ * p.n THEN 'opening'
+            -- Marks and stops decide where the counts don't.
+            WHEN o.marked THEN 'marked'
+            WHEN o.later THEN 'sentence' END AS reason
 FROM open_ends o
 LEFT JOIN trigrams t ON o.two = t.two AND o.third = t.third
 LEFT JOIN copies c ON o.two = c.two AND o.third = c.third AND xxhash64(o.field) = c.text
@@ -90,11 +93,6 @@ LEFT JOIN openings p ON o.opening = p.opening
 """
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_residue(texts: pd.Series) -> pd.Series:
-    return pd.Series([residue.classify(t)[0] is not None for t in texts], dtype=bool)
-
-
 def _run(spark: SparkSession, query: str, values: dict, name: str, rows: DataFrame) -> DataFrame:
     view = f"texts_{uuid4().hex}"
     rows.createOrReplaceTempView(view)
@@ -105,27 +103,32 @@ def _run(spark: SparkSession, query: str, values: dict, name: str, rows: DataFra
     return out
 
 
-def find_cut(df: DataFrame, keys: list[str], text_col: str, site_col: str = "site_id") -> DataFrame:
+def find_cut(df: DataFrame, keys: list[str], text_col: str, site_col: str = "site_id", title_col: str = "title", url_col: str = "original_url", site_name_col: str = "site_name") -> DataFrame:
     """One row for each text that was cut: keys, ``site``, ``reason``.
 
-    ``reason`` is ``marked`` (dots show the cut), ``sentence`` (sentences with
-    stops, then one without), ``trigram`` (the last three words are frequent
-    inside of texts and almost never end another one), ``word`` (the last word only
-    begins one that is frequent there) or ``opening`` (texts that begin so
-    nearly always end with a stop). Residue (``residue``) is no cut text.
-    Edge cases: null, empty and blank texts are not cut; texts of under three
-    words only if marked; text is read whole; repeated rows come out each and
-    count; other columns are ignored; a null site is a site of its own.
+    ``reason`` is ``trigram`` (the last three words are frequent inside of texts
+    and almost never end another one), ``word`` (the last word only begins one
+    that makes a frequent trigram there) or ``opening`` (texts that begin with
+    these three words nearly always end with a stop); where these counts don't
+    decide, ``marked`` (dots show the cut) or ``sentence`` (sentences with
+    stops, then one without). Residue (``residue``, told by the row's title,
+    address and site as well) is no cut text. Edge cases: null, empty and blank
+    texts are not cut; texts of under three words only if marked; text is read
+    whole; repeated rows come out each and count; other columns are ignored; a
+    null site is a site of its own.
     """
     spark = df.sparkSession
-    given = df.select(*keys, F.col(site_col).alias("site"), F.col(text_col).alias("field")).filter(F.col(text_col).isNotNull())
+    beside = {"_title": title_col, "_url": url_col, "_name": site_name_col}
+    given = df.select(*keys, F.col(site_col).alias("site"), *[F.col(c).alias(n) for n, c in beside.items()], F.col(text_col).alias("field")).filter(F.col(text_col).isNotNull())
     quoted = lambda p: p.replace("\\", "\\\\").replace("'", "\\'")
-    values = {"keys": ", ".join(keys), "o_keys": ", ".join(f"o.{k}" for k in keys), "marks": quoted(CUT_MARKS), "stops": quoted(STOPS), "closers": quoted(CLOSERS), "support": SUPPORT, "rarely": RARELY, "mostly": MOSTLY}
+    carried = [*keys, *beside]
+    values = {"keys": ", ".join(carried), "o_keys": ", ".join(f"o.{k}" for k in carried), "marks": quoted(CUT_MARKS), "stops": quoted(STOPS), "closers": quoted(CLOSERS), "support": SUPPORT, "rarely": RARELY, "mostly": MOSTLY}
     # The words are made once and written, as three parts of the query read them.
     worded = scratch(_run(spark, WORDS_SQL, values, "rows", given))
-    found = _run(spark, SQL, values, "worded", worded).filter("reason is not null")
+    found = scratch(_run(spark, SQL, values, "worded", worded).filter("reason is not null").withColumn("_no", F.expr("uuid()")))
     # Only what would be found is asked whether it is residue.
-    return found.filter(~_is_residue("field")).select(*keys, "site", "reason")
+    left_over = residue.find_residue(found, ["_no"], ["field", "_title"], "_url", "site", "_name").filter("residue and field_name = 'field'")
+    return found.join(left_over.select("_no"), "_no", "left_anti").select(*keys, "site", "reason")
 
 
 def cut_rates(df: DataFrame, cut: DataFrame, text_col: str, site_col: str = "site_id") -> DataFrame:
