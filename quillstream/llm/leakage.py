@@ -21,7 +21,7 @@ from ..session import cut
 
 #: Words of a template window with typed numbers, months and units, and of one
 #: with typed names too, which says less by the word.
-NUMBERED, NAMED = 8, 14
+NUMBERED, NAMED = 12, 14
 #: Words of the windows by which the words of a pair are laid beside one another.
 STEP = 6
 #: Share of an item's words that a passage has to hold.
@@ -29,14 +29,15 @@ SHARE = 1 / 3
 #: Least share of a passage's words that are the item's own, and of its slots
 #: that have to stand for one value throughout.
 LIKENESS, CONSISTENT = 0.75, 0.8
-#: Windows on one diagonal, as a share of an item's words, from which a pair is
-#: read word by word: a third of the item with every tenth word changed has
-#: more than that.
-SEEDS = 0.08
+#: Windows of either kind on one diagonal, as a share of an item's words, from
+#: which a pair is read word by word. A passage of a third of an item of 130
+#: words with three words changed has as many as long as 15 of them stand
+#: unchanged on end, numbers aside.
+SEEDS, NAMED_SEEDS = 0.03, 0.08
 #: Words that may be changed or put in at one place.
 GAP = 7
-#: Places of a diagonal that hits of one passage may be apart.
-BAND = 8
+#: Diagonals that hits of one passage may be apart, by what is put in.
+BAND = 16
 #: Windows of items up to which they are shipped to every task (some 30 MB);
 #: more are joined by shuffle.
 SHIPPED_WINDOWS = 1_000_000
@@ -130,11 +131,12 @@ def readings(texts: pa.Array) -> list[tuple[np.ndarray, pa.Array]]:
     return out
 
 
-def _emit(sizes: list[int], usual: bool = True):
+def _emit(sizes: list[int], usual: bool = True, wanted=None):
     """A function of batches (``_key``, ``_text``) to their template windows:
     ``_key``, ``_at`` (place), ``_h``, ``_kind`` (words of the window), ``_n``
     (words of the text). ``usual``: those of both kinds of template; ``sizes``:
-    windows of words as they are."""
+    windows of words as they are; ``wanted``: a broadcast of the sorted hashes
+    without which a window meets nothing."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +147,10 @@ def _emit(sizes: list[int], usual: bool = True):
                 for ids, size in [*([(numbered, NUMBERED), (named, NAMED)] if usual else []), *((words, n) for n in sizes)]:
                     hashes = _windows(ids, size) + np.uint64(size)  # those of one size never meet another's
                     at = np.flatnonzero(row[: len(hashes)] == row[size - 1 : size - 1 + len(hashes)])
+                    if wanted is not None and len(at):
+                        known = wanted.value
+                        place = np.searchsorted(known, hashes[at])
+                        at = at[known[np.minimum(place, len(known) - 1)] == hashes[at]] if len(known) else at[:0]
                     of = row[at]
                     for i in range(0, len(at), CHUNK):
                         part, mine = at[i : i + CHUNK], of[i : i + CHUNK]
@@ -267,7 +273,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     template if each slot stands for one value throughout. Documents are read
     with and without remarks in
     brackets. The windows of items are shipped if they are at most
-    ``SHIPPED_WINDOWS``, else joined by shuffle; documents are scanned once for
+    ``SHIPPED_WINDOWS``, and windows that no item has then go no further; else
+    they are joined by shuffle; documents are scanned once for
     windows and once for the pairs, and meet items as pairs only. Different
     items of one text are searched as one. Edge cases: null or empty texts hold
     and leak nothing; an item of under ``NUMBERED`` words leaks where all its
@@ -280,19 +287,20 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     kind = "_key bigint, _at int, _h bigint, _kind int, _n int"
     usual = one.mapInArrow(_emit([]), kind)
     # Items of fewer words have windows of their own lengths, of which documents
-    # are asked only where there are such items: at most seven sizes.
+    # are asked only where there are such items: at most eleven sizes.
     n_words = one.mapInArrow(_emit([1], False), kind).groupBy("_key").agg(F.max("_n").alias("_n"))
     short = sorted(r[0] for r in n_words.filter(F.col("_n") < NUMBERED).select("_n").distinct().collect())
     windows = usual.unionByName(one.mapInArrow(_emit(short, False), kind).filter(F.col("_n") == F.col("_kind"))) if short else usual
-    need = F.when(F.col("_n") < NUMBERED, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("_n") * SEEDS).cast("int")))
+    need = F.when(F.col("_n") < NUMBERED, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("_n") * F.when(F.col("_kind") == NAMED, NAMED_SEEDS).otherwise(SEEDS)).cast("int")))
     posted = cut(windows.select("_h", "_kind", F.col("_key").alias("_which"), F.col("_at").alias("_place"), need.alias("_need")))
     shipped = posted.limit(SHIPPED_WINDOWS + 1).count() <= SHIPPED_WINDOWS
-    met = given.select("_key", "_text").mapInArrow(_emit(short), kind).select("_key", "_at", "_h").join(F.broadcast(posted) if shipped else posted, "_h")
-    # Hits of a passage lie on a diagonal that shifts by what is put in, so each
-    # counts for two bands.
-    shift = F.floor((F.col("_at") - F.col("_place")) / BAND)
-    banded = met.select("_key", "_which", "_kind", "_need", F.explode(F.array(F.floor(shift / 2) * 2, F.floor((shift + 1) / 2) * 2 + 1)).alias("_band"))
-    rich = banded.groupBy("_key", "_which", "_kind", "_band").agg(F.count("*").alias("n"), F.first("_need").alias("_need")).filter("n >= _need")
+    hashes = np.sort(np.array([r[0] for r in posted.select("_h").distinct().collect()], "int64").view("uint64")) if shipped else None
+    wanted = documents.sparkSession.sparkContext.broadcast(hashes) if shipped else None  # 8 bytes for each of the bounded windows
+    met = given.select("_key", "_text").mapInArrow(_emit(short, wanted=wanted), kind).select("_key", "_at", "_h").join(F.broadcast(posted) if shipped else posted, "_h")
+    # Hits of a passage lie on a diagonal that shifts by what is put in: of a
+    # document and an item, only the diagonals are gathered.
+    on = met.groupBy("_key", "_which", "_kind").agg(F.array_sort(F.collect_list((F.col("_at") - F.col("_place")).cast("int"))).alias("_d"), F.first("_need").alias("_need"))
+    rich = on.filter(F.size("_d") >= F.col("_need")).filter(F.expr(f"exists(sequence(0, size(_d) - _need), i -> _d[i + _need - 1] - _d[i] <= {BAND})"))
     seeds = rich.groupBy("_key", "_which").agg(F.max(F.col("_kind") == NAMED).alias("_named"))
     pairs = given.join(seeds, "_key").join(one.withColumnsRenamed({"_key": "_which", "_text": "_said"}), "_which").select("_doc", "_which", "_text", "_said", "_named")
     # Few rows that are much work each: spread them anew.
