@@ -195,18 +195,24 @@ def _octet(h: Column, n: int) -> Column:
 
 def unsafe_host(h: Column) -> Column:
     """Why a host is no public target, by its form alone; null if nothing
-    speaks against it."""
-    a, b, c = _octet(h, 1), _octet(h, 2), _octet(h, 3)
-    v4 = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    numeric = h.rlike(r"^(?:0x[0-9a-f]*|\d+)(?:\.(?:0x[0-9a-f]*|\d+)){0,3}\.?$")
-    odd = numeric & (~v4 | h.rlike(r"(?:^|\.)0\d") | (a > 255) | (b > 255) | (c > 255) | (_octet(h, 4) > 255))
-    private = (a == 10) | (a == 127) | (a == 0) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168) | (a == 169) & (b == 254) | (a == 100) & b.between(64, 127)
-    reserved = (a >= 224) | (a == 192) & (b == 0) & c.isin(0, 2) | (a == 198) & (b.isin(18, 19) | (b == 51) & (c == 100)) | (a == 203) & (b == 0) & (c == 113)
-    local = h.rlike(r"^(?:localhost|localhost\.localdomain|.*\.localhost|.*\.local|.*\.internal|.*\.lan|.*\.home\.arpa)\.?$")
-    return (
-        F.when(h == "", "missing_host").when(local, "local_name").when(odd, "ambiguous_numeric").when(v4 & private, "private_ipv4")
-        .when(v4 & reserved, "reserved_ipv4").when(h.startswith("["), unsafe_ipv6(h))
-    )
+    speaks against it. Case and a stop at the end don't matter. Four plain
+    octets are an IPv4 address; any other host that is all figures, stops and
+    hexadecimal parts might be read as one and is refused."""
+    def read(h: Column) -> Column:
+        a, b, c = _octet(h, 1), _octet(h, 2), _octet(h, 3)
+        octet = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
+        v4 = h.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
+        numeric = h.rlike(r"^[0-9.]+$") | h.rlike(r"^(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+))*$")
+        private = (a == 10) | (a == 127) | (a == 0) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168) | (a == 169) & (b == 254) | (a == 100) & b.between(64, 127)
+        reserved = (a >= 224) | (a == 192) & (b == 0) & c.isin(0, 2) | (a == 198) & (b.isin(18, 19) | (b == 51) & (c == 100)) | (a == 203) & (b == 0) & (c == 113)
+        local = h.rlike(r"^(?:localhost|metadata|.*\.localhost|.*\.local|.*\.internal)$")
+        return (
+            F.when(h == "", "missing_host").when(local, "local_name").when(v4 & private, "private_ipv4").when(v4 & reserved, "reserved_ipv4")
+            .when(numeric & ~v4, "ambiguous_numeric")
+        )
+
+    bare = F.regexp_replace(F.lower(h), r"\.$", "")
+    return F.coalesce(let(bare, read), F.when(h.contains(":"), unsafe_ipv6(bare)))
 
 
 @F.pandas_udf(T.StringType())
@@ -217,9 +223,9 @@ def unsafe_ipv6(hosts: pd.Series) -> pd.Series:
 
 
 def _ipv6_reason(h: str | None) -> str | None:
-    if h is None or not h.startswith("["):
+    if h is None or ":" not in h:
         return None
-    text = h.strip("[]")
+    text = h[1:-1] if h.startswith("[") and h.endswith("]") else h
     if "%" in text:
         return "scoped_ipv6"
     try:

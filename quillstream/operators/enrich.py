@@ -79,17 +79,17 @@ def enrich(pages: DataFrame, responses: DataFrame, oembed: bool = True, manifest
     out = pages.withColumn("enrich_warnings", F.array().cast("array<struct<code: string, message: string>>"))
     warn = lambda code: F.array(F.struct(F.lit(code).alias("code"), F.lit(code).alias("message")))
     if oembed:
-        out = out.withColumn("_ep", best("oembedEndpoints")).withColumn("_url", F.regexp_replace("_ep", "^(?:json|xml):", ""))
-        out = out.join(one.select(F.col("url").alias("_url"), F.col("text").alias("_t")), "_url", "left")
-        rec = F.when(F.col("_ep").startswith("xml:"), oembed_xml(F.col("_t"))).otherwise(oembed_json(F.col("_t")))
+        out = out.withColumn("_enrich_endpoint", best("oembedEndpoints")).withColumn("_enrich_url", F.regexp_replace("_enrich_endpoint", "^(?:json|xml):", ""))
+        out = out.join(one.select(F.col("url").alias("_enrich_url"), F.col("text").alias("_enrich_text")), "_enrich_url", "left")
+        rec = F.when(F.col("_enrich_endpoint").startswith("xml:"), oembed_xml(F.col("_enrich_text"))).otherwise(oembed_json(F.col("_enrich_text")))
         out = out.withColumn("oembed", rec)
-        good = F.col("_t").isNotNull() & F.coalesce(*[F.col("oembed")[f] for f in OEMBED_FIELDS]).isNotNull()
+        good = F.col("_enrich_text").isNotNull() & F.coalesce(*[F.col("oembed")[f] for f in OEMBED_FIELDS]).isNotNull()
         out = out.withColumn("oembed", F.when(good, F.col("oembed"))).withColumn("candidates", F.when(good, F.concat("candidates", oembed_candidates(F.col("oembed"), F.col("base_url")))).otherwise(F.col("candidates")))
-        out = out.withColumn("enrich_warnings", F.when(F.col("_ep").isNotNull() & ~good, F.concat("enrich_warnings", warn("oembedFailed"))).otherwise(F.col("enrich_warnings"))).drop("_ep", "_url", "_t")
+        out = out.withColumn("enrich_warnings", F.when(F.col("_enrich_endpoint").isNotNull() & ~good, F.concat("enrich_warnings", warn("oembedFailed"))).otherwise(F.col("enrich_warnings"))).drop("_enrich_endpoint", "_enrich_url", "_enrich_text")
     if manifest:
-        out = out.withColumn("_url", best("manifestUrls")).join(one.select(F.col("url").alias("_url"), F.col("text").alias("_t")), "_url", "left")
-        out = out.withColumn("manifest", manifest_json(F.col("_t"), F.col("_url")))
+        out = out.withColumn("_enrich_url", best("manifestUrls")).join(one.select(F.col("url").alias("_enrich_url"), F.col("text").alias("_enrich_text")), "_enrich_url", "left")
+        out = out.withColumn("manifest", manifest_json(F.col("_enrich_text"), F.col("_enrich_url")))
         good = F.col("manifest").isNotNull()
         out = out.withColumn("candidates", F.when(good, F.concat("candidates", manifest_candidates(F.col("manifest")))).otherwise(F.col("candidates")))
-        out = out.withColumn("enrich_warnings", F.when(F.col("_url").isNotNull() & ~good, F.concat("enrich_warnings", warn("manifestFailed"))).otherwise(F.col("enrich_warnings"))).drop("_url", "_t")
+        out = out.withColumn("enrich_warnings", F.when(F.col("_enrich_url").isNotNull() & ~good, F.concat("enrich_warnings", warn("manifestFailed"))).otherwise(F.col("enrich_warnings"))).drop("_enrich_url", "_enrich_text")
     return out

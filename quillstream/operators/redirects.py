@@ -25,8 +25,13 @@ def header(headers: Column, name: str) -> Column:
 
 
 def merge_headers(defaults: Column, given: Column) -> Column:
-    """Headers in lower case, those given before the defaults."""
-    low = lambda m: F.transform(F.map_entries(m), lambda h: F.struct(F.lower(h["key"]).alias("key"), h["value"].alias("value")))
+    """Headers in lower case, those given before the defaults; of several
+    spellings of one the first."""
+    def low(m: Column) -> Column:
+        entries = F.transform(F.map_entries(m), lambda h: F.struct(F.lower(h["key"]).alias("key"), h["value"].alias("value")))
+        keys = F.transform(entries, lambda h: h["key"])
+        return F.filter(entries, lambda h, i: F.array_position(keys, h["key"]) == i + 1)
+
     mine = low(given)
     rest = F.filter(low(defaults), lambda h: ~F.exists(mine, lambda g: g["key"] == h["key"]))
     return F.map_from_entries(F.concat(rest, mine))
@@ -48,18 +53,22 @@ def follow(requests: DataFrame, edges: DataFrame, max_redirects: int = 5, url_co
     tried in order: no redirect ends the chain; ``redirectLimit`` if none is
     allowed; ``invalidRedirect``; ``redirectLoop``; ``redirectLimit``; then the
     hop counts. There are ``max_redirects + 1`` rounds at most. Edge cases: a
-    null URL ends at once; a URL without a response ends there; of several
+    null URL ends at once; a URL without a response ends there; URLs are met by
+    their normalised form, so that case of the host, a default port or a
+    fragment hide no response; of several
     responses of a URL one with a redirect counts first, then the least
     location; repeated requests come out each; columns are kept.
     """
     loc = F.col("location")
-    one = edges.filter("from_url is not null").groupBy("from_url").agg(F.min(F.struct((~F.coalesce(is_redirect(F.col("status"), loc), F.lit(False))).alias("o"), loc.alias("location"), F.col("status").alias("status"))).alias("_e"))
+    met = edges.withColumn("from_url", urls.normalize_for_request(F.col("from_url")))
+    one = met.filter("from_url is not null").groupBy("from_url").agg(F.min(F.struct((~F.coalesce(is_redirect(F.col("status"), loc), F.lit(False))).alias("o"), loc.alias("location"), F.col("status").alias("status"))).alias("_e"))
     one = one.select(F.col("from_url").alias("_from"), "_e.status", "_e.location").filter(is_redirect(F.col("status"), loc)).withColumnRenamed("status", "_status").withColumnRenamed("location", "_location")
     hop = "array<struct<from_url: string, to_url: string, status: int, location: string>>"
     state = requests.withColumn("_at", F.col(url_col)).withColumn("hops", F.array().cast(hop)).withColumn("failure", F.lit(None).cast("string")).withColumn("_open", F.col(url_col).isNotNull())
     kept = [*requests.columns, "_at", "hops", "failure", "_open"]
     for _ in range(max_redirects + 1):
-        joined = state.join(one, F.col("_open") & (F.col("_at") == F.col("_from")), "left")
+        asked = state.withColumn("_norm", F.when(F.col("_open"), urls.normalize_for_request(F.col("_at"))))
+        joined = asked.join(one, F.col("_norm") == F.col("_from"), "left")
         to = urls.resolve(F.col("_at"), F.col("_location"))
         bare = urls.remove_fragment(to)
         seen = F.exists("hops", lambda h: urls.remove_fragment(h["from_url"]) == bare) | (urls.remove_fragment(F.col("_at")) == bare)

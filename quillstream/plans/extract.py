@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import cache, redirects
+from ..operators.enrich import enrich
 from ..sources import charset
-from .parse import Options, assemble, candidates_of, graph_warnings, status_of, terminal_check
+from .parse import Options, assemble, candidates_of, graph_warnings, read_warnings, status_of, terminal_check
 
 
-def extract_batch(requests: DataFrame, responses: DataFrame, entries: DataFrame | None = None, now_ms: int = 0, options: Options = Options(), url_col: str = "url", position_col: str = "input_pos") -> DataFrame:
+def extract_batch(requests: DataFrame, responses: DataFrame, entries: DataFrame | None = None, now_ms: int = 0, options: Options = Options(), url_col: str = "url", position_col: str = "input_pos", remote: DataFrame | None = None) -> DataFrame:
     """One row for each request, keyed by ``position_col``: the metadata,
     ``error_code``, ``retryable``, ``from_cache``, ``warnings``, ``status``.
 
     Requests of one normalised URL are computed once and joined back; hits of
     the cache aren't computed at all. Rows of failed requests carry their error
-    and no metadata: one bad URL spoils nothing else.
+    and no metadata: one bad URL spoils nothing else. A body beyond the limit
+    is cut and the result partial. ``warnings`` (code, message) stand in the order
+    of the steps: body, charset, linked data, enrichment. ``remote`` (``url``,
+    ``status``, ``text``) holds oEmbed and manifest documents to enrich pages by.
     """
     parsed = requests.select(position_col, F.col(url_col).alias("original_url"), urls.parse_loose(F.col(url_col)).alias("_url"))
     keyed = parsed.withColumn("cache_key", urls.cache_key(F.col("_url")))
@@ -34,15 +38,21 @@ def extract_batch(requests: DataFrame, responses: DataFrame, entries: DataFrame
     checked = terminal_check(fetched.withColumn("error", F.when(F.col("status").isNull() & F.col("error").isNull(), "no response").otherwise(F.col("error"))))
     checked = checked.withColumn("error_code", F.coalesce("failure", "error_code"))
     kind = redirects.header(F.coalesce("headers", F.create_map().cast("map<string,string>")), "content-type")
-    body = F.when(F.col("error_code").isNull(), F.substring("body", F.lit(1), F.lit(options.max_bytes)))
-    pages = checked.withColumn("html", charset.decode_body(body, kind)["text"])
-    made = assemble(candidates_of(pages, "html", "final_url", options), options)
+    limit = max(options.max_bytes, 0)
+    sound = F.col("error_code").isNull()
+    cut = checked.withColumn("truncated", sound & F.lit(limit > 0) & (F.octet_length("body") > limit)).withColumn("_d", charset.decode_body(F.when(sound, F.substring("body", F.lit(1), F.lit(limit))), kind))
+    pages = cut.withColumn("html", F.col("_d.text")).withColumn("charset_source", F.when(sound & F.col("body").isNotNull(), F.col("_d.charset_source"))).drop("_d", "body")
+    found = candidates_of(pages, "html", "final_url", options)
+    found = enrich(found, remote) if remote is not None else found.withColumn("enrich_warnings", F.array().cast("array<struct<code: string, message: string>>"))
+    made = assemble(found, options)
     errors = F.filter(F.array("error_code"), lambda e: e.isNotNull())
-    made = made.withColumn("warnings", graph_warnings(F.col("graph"))).withColumn("status", status_of(errors, F.col("warnings")))
-    cols = ["title", "description", "site_name", "locale", "canonical_url", "kind", "final_url", "error_code", "retryable", "status"]
+    none = F.array().cast("array<struct<code: string, message: string>>")
+    told = F.concat(read_warnings(F.coalesce("truncated", F.lit(False)), F.coalesce("charset_source", F.lit(""))), graph_warnings(F.col("graph")), F.col("enrich_warnings"))
+    made = made.withColumn("warnings", F.when(F.col("error_code").isNull(), told).otherwise(none)).withColumn("status", status_of(errors, F.col("warnings")))
+    cols = ["title", "description", "site_name", "locale", "canonical_url", "kind", "final_url", "error_code", "retryable", "warnings", "status"]
     computed = made.select("_url", *cols, F.lit(False).alias("from_cache"))
     if hits is not None:
-        stored = hits.select("_url", *[F.get_json_object("payload", f"$.{c}").alias(c) if c not in ("error_code", "retryable", "status", "final_url") else F.lit(None).cast(computed.schema[c].dataType).alias(c) for c in cols], F.lit(True).alias("from_cache"))
+        stored = hits.select("_url", *[F.get_json_object("payload", f"$.{c}").alias(c) if c not in ("error_code", "retryable", "status", "final_url", "warnings") else F.lit(None).cast(computed.schema[c].dataType).alias(c) for c in cols], F.lit(True).alias("from_cache"))
         computed = computed.unionByName(stored.withColumn("status", F.lit("success")).select(*computed.columns))
     joined = keyed.join(computed, "_url", "left")
     bad = F.col("_url").isNull()

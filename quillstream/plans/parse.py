@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import stages
 from ..operators.ranking import LIMITS, SCALARS
+from ..operators.redirects import header
 from ..sources import charset, html, linked_data
 
 # Warnings that make a result partial.
@@ -87,6 +88,12 @@ def graph_warnings(graph: Column) -> Column:
     return F.array_compact(F.array(warn(graph["malformed"] > 0, "malformed JSON-LD"), warn(graph["limit_reached"], "JSON size or traversal limit")))
 
 
+def read_warnings(truncated: Column, charset_source: Column) -> Column:
+    """What reading the body has to tell, before anything of the page."""
+    warn = lambda cond, code: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(code).alias("message")))
+    return F.array_compact(F.array(warn(truncated, "truncatedHtml"), warn(charset_source.isin("fallback", "unknown"), "charsetFallback")))
+
+
 def status_of(errors: Column, warnings: Column) -> Column:
     """``failure`` with errors, ``partial`` with warnings that tell of it,
     else ``success``."""
@@ -117,14 +124,12 @@ def parse_response(responses: DataFrame, options: Options = Options()) -> DataFr
     """As ``parse_html`` for raw responses (``url``, ``headers``, ``body``):
     bytes beyond the limit are cut, the charset is told by mark, header or
     page, with ``charset``, ``charset_source`` and ``truncated``."""
-    headers = F.map_from_entries(F.transform(F.map_entries("headers"), lambda h: F.struct(F.lower(h["key"]), h["value"])))
     limit = options.max_bytes
-    cut = responses.withColumn("_h", headers).withColumn("truncated", F.lit(limit > 0) & (F.octet_length("body") > limit)).withColumn("_b", F.substring("body", F.lit(1), F.lit(max(limit, 0))))
-    decoded = cut.withColumn("_d", charset.decode_body(F.col("_b"), F.element_at("_h", F.lit("content-type"))))
+    cut = responses.withColumn("_h", header(F.col("headers"), "content-type")).withColumn("truncated", F.lit(limit > 0) & (F.octet_length("body") > limit)).withColumn("_b", F.substring("body", F.lit(1), F.lit(max(limit, 0))))
+    decoded = cut.withColumn("_d", charset.decode_body(F.col("_b"), F.col("_h")))
     pages = decoded.select(*responses.columns, "truncated", F.col("_d.text").alias("html"), F.col("_d.charset").alias("charset"), F.col("_d.charset_source").alias("charset_source"))
     made = assemble(candidates_of(pages, "html", "url", options), options)
-    warn = lambda cond, code: F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(code).alias("message")))
-    first = F.array_compact(F.array(warn(F.col("truncated"), "truncatedHtml"), warn(F.col("charset_source").isin("fallback", "unknown"), "charsetFallback")))
+    first = read_warnings(F.col("truncated"), F.col("charset_source"))
     warned = made.withColumn("warnings", F.concat(first, graph_warnings(F.col("graph"))))
     return warned.withColumn("status", status_of(F.array(), F.col("warnings"))).drop("elements", "graph", "candidates", "html", "_h", "_b", "_d")
 
@@ -132,8 +137,7 @@ def parse_response(responses: DataFrame, options: Options = Options()) -> DataFr
 def terminal_check(df: DataFrame) -> DataFrame:
     """``responses`` with ``error_code`` (null if the page is to be parsed) in
     the order of the checks: fetch error, no HTML, status; and ``retryable``."""
-    headers = F.map_from_entries(F.transform(F.map_entries(F.coalesce("headers", F.create_map())), lambda h: F.struct(F.lower(h["key"]), h["value"])))
-    kind = F.lower(F.try_element_at(headers, F.lit("content-type")))
+    kind = F.lower(header(F.col("headers"), "content-type"))
     is_html = kind.isNull() | kind.contains("text/html") | kind.contains("application/xhtml")
     failed = F.col("error").isNotNull() | F.col("status").isNull()
     reason = F.when(F.lower("error").contains("timeout") | F.lower("error").contains("timed out"), "timeout").otherwise("network")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillstream.functions import text, urls
 from quillstream.operators import cache, ranking, redirects
-from quillstream.plans import parse
+from quillstream.plans import extract, parse
 from quillstream.sources import charset, html, linked_data
 
 
@@ -25,9 +25,15 @@ def test_resolution(spark, base, ref, want):
 
 
 def test_unsafe_hosts(spark):
-    hosts = ["localhost", "127.1", "2130706433", "0x7f.0.0.1", "10.0.0.1", "192.0.1.1", "0x.example", "8.8.8.8", "[::1]", "[fe80::1%1]", "[::ffff:10.0.0.1]", "[2606:4700::1]", ""]
-    got = column(spark, urls.unsafe_host, *hosts)
-    assert [g is not None for g in got] == [True, True, True, True, True, False, False, False, True, True, True, False, True]
+    refused = [
+        "localhost", "LOCALHOST.", "a.localhost", "printer.local", "db.internal", "metadata", "metadata.", "127.1", "2130706433", "0x7f000001", "0x7f.0.0.1", "127.0x0.0.1", "0x7f.0x0.0x0.0x1", "1.2.3.4.5",
+        "010.0.0.1", "256.1.1.1", "1..2.3", "10.0.0.1", "192.0.0.1", "192.0.2.1", "198.18.0.1", "203.0.113.9", "224.0.0.1", "[::1]", "[0:0:0:0:0:0:0:1]", "[::]", "[::ffff:127.0.0.1]", "[0:0:0:0:0:ffff:0a00:0001]",
+        "[::127.0.0.1]", "[64:ff9b::192.168.1.1]", "[fc00::1]", "[fd12:3456::1]", "[fe80::1]", "[fe80::1%1]", "[fec0::1]", "[ff02::1]", "[2001:db8::1]", "2001:db8:1", ":::", "",
+    ]
+    allowed = ["example.com", "0x.example", "192.0.1.1", "192.0.16.1", "8.8.8.8", "8.8.8.8.", "nas.lan", "hub.home.arpa", "metadata.example", "[2001:4860:4860::8888]", "[2606:4700:4700:0:0:0:0:1111]", "[::ffff:8.8.8.8]"]
+    got = column(spark, urls.unsafe_host, *refused, *allowed, None)
+    assert [h for h, why in zip(refused, got, strict=False) if why is None] == []
+    assert [h for h, why in zip(allowed, got[len(refused) :], strict=False) if why is not None] == [] and got[-1] is None
 
 
 def test_texts_and_dates(spark):
@@ -47,6 +53,10 @@ def test_tokenizer():
 def test_charsets():
     assert charset.decode(b"\x80", "text/html; charset=iso-8859-1") == ("€", "windows-1252", "header")
     assert charset.decode(b"\xef\xbb\xbfa", "text/html; charset=latin1")[2] == "bom" and charset.decode(b'<meta charset="latin1">\xe9', None)[0].endswith("é")
+    for label in ("rot13", "hex", "undefined", "base64", "idna", "unicode_escape", "utf-7", "no such", "a\x00b"):
+        assert charset.decode(b"<p>a", f"text/html; charset={label}") == ("<p>a", "utf-8", "fallback")
+    assert charset.decode(b"<!-- <meta charset=koi8-r> --><meta http-equiv=Content-Type content='text/html; charset=windows-1251'>\xe0", None)[1:] == ("windows-1251", "meta")
+    assert charset.decode(b"<!-- <meta charset=koi8-r> --><p>", None)[2] == "fallback" and charset.canonical_label("EUC-JP") == "euc-jp"
     assert charset.decode(b"\xff", None) == ("�", "utf-8", "fallback") and charset.decode(None, None)[0] == ""
 
 
@@ -106,3 +116,31 @@ def test_cache(spark):
     assert cache.read(spark.createDataFrame([("a",), ("b",)], "cache_key string"), df, 11, 0, 5).filter("hit").count() == 1
     new = cache.write(df, spark.createDataFrame([("a", "k", 5, "neverExpires", None, 0, "[1]"), ("z", "k", -99, "expiresAfter", 1, 0, "{}")], schema), 6)
     assert keys(new) == ["a", "b", "c", "d"] and new.filter("cache_key = 'a'").collect()[0]["payload"] == "[1]"
+
+
+def test_batch(spark):
+    kind = {"Content-Type": "text/html; charset=utf-8"}
+    page = lambda title, more="": f"<title>{title}</title>{more}".encode()
+    endpoint = '<link rel="alternate" type="application/json+oembed" href="/o.json"><link rel=manifest href="/m.json">'
+    responses = spark.createDataFrame(
+        [
+            ("https://A.example/x", 302, {"LOCATION": "/Y#part"}, None, None), ("https://a.example:443/Y", 200, {**kind, "content-type": "text/html"}, page("Moved"), None),
+            ("https://b.example/", 200, kind, page("Long", "<p>" + "x" * 600_000), None), ("https://c.example/", 200, {"Content-Type": "text/html"}, page("No charset"), None), ("https://d.example/", 500, kind, page("Bad"), None),
+            ("https://e.example/", 200, {"content-type": "text/html; charset=rot13"}, page("Odd"), None), ("https://f.example/", 200, kind, page("Enriched", endpoint), None), ("https://g.example/", 200, kind, page("Broken", endpoint), None),
+        ],
+        "url string, status int, headers map<string,string>, body binary, error string",
+    )
+    remote = spark.createDataFrame([("https://f.example/o.json", 200, '{"type":"rich","title":"t","author_name":"A. Writer","provider_name":"P"}'), ("https://f.example/m.json", 200, '{"name":"App"}'), ("https://g.example/o.json", 404, "")], "url string, status int, text string")
+    asked = ["HTTPS://a.example/x", "https://b.example", "c.example", "https://d.example/", "https://e.example/", "https://f.example/", "https://g.example/", "https://h.example/", "mailto:x", "https://a.example/x#top", None]
+    requests = spark.createDataFrame(list(enumerate(asked)), "input_pos int, url string")
+    rows = {r["input_pos"]: r for r in extract.extract_batch(requests, responses, remote=remote).collect()}
+    codes = lambda i: [w["code"] for w in rows[i]["warnings"] or []]
+    assert len(rows) == len(asked) and rows[0]["title"] == "Moved" and rows[9]["title"] == "Moved" and rows[0]["final_url"].startswith("https://a.example/Y")
+    assert (rows[1]["title"], rows[1]["status"], codes(1)) == ("Long", "partial", ["truncatedHtml"]) and (rows[2]["status"], codes(2)) == ("success", ["charsetFallback"])
+    assert (rows[3]["error_code"], rows[3]["retryable"], rows[3]["title"], codes(3)) == ("httpStatus", True, None, []) and (rows[4]["title"], codes(4)) == ("Odd", ["charsetFallback"])
+    assert (rows[5]["title"], rows[5]["site_name"], rows[5]["status"], codes(5)) == ("t", "P", "success", []) and (rows[6]["status"], codes(6)) == ("partial", ["oembedFailed", "manifestFailed"])
+    assert rows[7]["error_code"] == "network" and rows[8]["error_code"] == "invalidUrl" == rows[10]["error_code"] and rows[8]["final_url"] == "about:blank"
+    # Other spellings of one header don't end the job.
+    assert parse.parse_response(responses.filter("url = 'https://a.example:443/Y'")).collect()[0]["title"] == "Moved"
+    merged = spark.range(1).select(redirects.merge_headers(F.create_map(F.lit("Accept"), F.lit("a"), F.lit("accept"), F.lit("b")), F.create_map(F.lit("X"), F.lit("1"), F.lit("x"), F.lit("2"))).alias("m"))
+    assert merged.collect()[0]["m"] == {"accept": "a", "x": "1"}
