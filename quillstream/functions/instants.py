@@ -121,6 +121,10 @@ def _word_class(word: str) -> str:
     return _CLASS.get(word.lower(), "x")
 
 
+#: Characters up to which a mask's parser is remembered; it is found anew beyond.
+KEPT_MASK = 200
+
+
 @lru_cache(65_536)
 def parser_of(mask: str) -> tuple[str, dict[str, tuple[int, int]]]:
     """What to do with a mask: (status, field spans). Masks repeat, so each is
@@ -228,13 +232,10 @@ def read_instants(raw: pd.Series, zones: pd.Series, orders: pd.Series, tables: Z
     for i, v in enumerate(raw):
         if isinstance(v, str):
             texts[i] = tidy(v)
-            if len(texts[i]) > 120:  # longer than any time with its zone's name
-                status[i], shapes[i] = UNREAD, "long"
-                continue
             shapes[i] = shape_mask(texts[i])
             groups.setdefault(shapes[i], []).append(i)
     for mask, rows in groups.items():
-        kind, spans = parser_of(mask)
+        kind, spans = parser_of(mask) if len(mask) <= KEPT_MASK else parser_of.__wrapped__(mask)
         if kind != OK:
             status[rows] = kind
             continue

@@ -42,7 +42,7 @@ def _parse_flat(text: str):
             elif word := next((w for w in _WORDS if text.startswith(w, at)), None):
                 value, at = _WORDS[word], at + len(word)
             elif m := _NUMBER.match(text, at):
-                value, at = m.group(), m.end()
+                value, at = json.loads(m.group()), m.end()
             else:
                 raise ValueError(f"value expected at {at}")
         elif want == "key":
@@ -133,10 +133,23 @@ def objects(nodes: list[str | None]) -> list[tuple[list[str], list[str], list[st
 
 
 def _dump(value: list) -> str:
+    """A list without objects as JSON text, nested to any depth."""
     try:
         return json.dumps(value, ensure_ascii=False)
     except RecursionError:
-        return "[...]"
+        out, todo = [], [(value, "")]
+        while todo:
+            v, before = todo.pop()
+            out.append(before)
+            if v is _BAD:
+                out.append("]")
+            elif isinstance(v, list):
+                out.append("[")
+                todo.append((_BAD, ""))
+                todo.extend((x, ", " if i else "") for i, x in reversed(list(enumerate(v))))
+            else:
+                out.append(json.dumps(v, ensure_ascii=False))
+        return "".join(out)
 
 
 def _holds_object(value: list) -> bool:

@@ -17,8 +17,10 @@ from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import numpy as np
 
-#: Rules without an end are written out up to this year.
+#: Rules without an end are written out up to this year. They go by the calendar
+#: alone, so a later year is read as one before it of the same calendar.
 LAST_YEAR = 2100
+_LAST = int(datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp())
 _FIRST = -(2**62)
 
 
@@ -33,6 +35,11 @@ class ZoneTables:
         """UTC seconds of wall-clock seconds, and how many instants show that
         wall clock: 0 in a gap, 2 in an overlap, 1 otherwise."""
         starts, offsets = self.zones[zone]
+        if (late := wall >= _LAST).any():
+            shift = np.zeros_like(wall)
+            shift[late] = _to_known_years(wall[late])
+            utc, hits = self.utc_of_wall(zone, wall - shift)
+            return utc + shift, hits
         ends = np.append(starts[1:], 2**62)
         first = np.searchsorted(starts, wall - 100_000, "right") - 1
         last = np.searchsorted(starts, wall + 100_000, "right") - 1
@@ -46,6 +53,18 @@ class ZoneTables:
         return utc, hits
 
 
+def _to_known_years(wall: np.ndarray) -> np.ndarray:
+    """Seconds by which each wall clock is later than the same time of the same
+    day in a year before ``LAST_YEAR`` whose calendar is alike, of which any 28
+    years have all."""
+    years = (wall // 86400).astype("datetime64[D]").astype("datetime64[Y]").astype("int64") + 1970
+    first = lambda y: int(np.datetime64(f"{y:04d}-01-01", "D").astype("int64"))
+    shape = lambda y: ((first(y) + 4) % 7, first(y + 1) - first(y))
+    known = {shape(y): y for y in range(LAST_YEAR - 28, LAST_YEAR)}
+    by_year = {y: 86400 * (first(y) - first(known[shape(y)])) for y in np.unique(years).tolist()}
+    return np.array([by_year[y] for y in years.tolist()], "int64")
+
+
 def _file(name: str) -> bytes | None:
     for root in TZPATH:
         if (path := Path(root, name)).is_file():

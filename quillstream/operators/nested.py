@@ -19,14 +19,17 @@ def flatten_objects(df: DataFrame, id_col: str = "graph_id", nodes_col: str = "n
     object; ``path`` by its keys and positions. Both parent columns come of
     truncating the label by its last step, without a join; the empty string
     stands for no parent. ``schema_path`` is the path without positions, with
-    ``$`` for the top: objects that share it have one shape and make one table. ``labels_only`` leaves
+    ``$`` for the top: objects that share it have one shape and make one table;
+    ``parent_schema_path`` is that of the parent. In both, ``/`` and ``~`` of keys
+    are written ``~1`` and ``~0``. ``labels_only`` leaves
     out ``scalars``, for those who need just the tree.
     Edge cases: a null or empty list, null or unreadable elements, plain values
     and empty objects yield no row; of repeated keys in an object the last
     counts; repeated rows are labelled each; other columns are ignored. JSON
     may be nested to any depth.
     """
-    names = ["path", "parent_path", "dewey", "parent_dewey", "schema_path"]
+    names = ["path", "parent_path", "dewey", "parent_dewey", "schema_path", "parent_schema_path"]
+    schema = lambda keys: "$" + "/".join(k.replace("~", "~0").replace("/", "~1") for k in keys)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +38,7 @@ def flatten_objects(df: DataFrame, id_col: str = "graph_id", nodes_col: str = "n
                 for steps, ordinals, keys, members in nested.objects(texts or []):
                     at.append(row)
                     depths.append(len(steps))
-                    parts = ("/".join(steps), "/".join(steps[:-1]), "-".join(ordinals), "-".join(ordinals[:-1]), "$" + "/".join(keys))
+                    parts = ("/".join(steps), "/".join(steps[:-1]), "-".join(ordinals), "-".join(ordinals[:-1]), schema(keys), schema(keys[:-1]) if len(keys) > 1 else "")
                     for column, part in zip(columns, parts, strict=True):
                         column.append(part)
                     if not labels_only:
@@ -46,8 +49,8 @@ def flatten_objects(df: DataFrame, id_col: str = "graph_id", nodes_col: str = "n
             yield pa.RecordBatch.from_arrays(out, ["_id", *names, "depth", *([] if labels_only else ["scalars"])])
 
     given = df.select(F.col(id_col).alias("_id"), F.col(nodes_col).alias("_nodes")).filter(F.size("_nodes") > 0)
-    schema = f"_id {given.schema['_id'].dataType.simpleString()}, {', '.join(f'{n} string' for n in names)}, depth int" + ("" if labels_only else ", scalars map<string, string>")
-    return given.mapInArrow(label, schema).withColumnRenamed("_id", id_col)
+    kinds = f"_id {given.schema['_id'].dataType.simpleString()}, {', '.join(f'{n} string' for n in names)}, depth int" + ("" if labels_only else ", scalars map<string, string>")
+    return given.mapInArrow(label, kinds).withColumnRenamed("_id", id_col)
 
 
 def schema_tables(flat: DataFrame) -> DataFrame:
@@ -55,9 +58,7 @@ def schema_tables(flat: DataFrame) -> DataFrame:
     with its parent's schema path, its number of rows, of rows with a parent,
     and its columns (sorted, comma-separated). Keys are distinct within an
     object, so the columns are gathered as pairs, never as whole lists."""
-    parent = F.regexp_replace("schema_path", "/[^/]*$", "")
-    base = flat.withColumn("parent_schema_path", F.when(F.col("depth") > 1, parent).otherwise(""))
-    sizes = base.groupBy("schema_path", "parent_schema_path").agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("parent_path") != "", 1)).alias("n_with_parent"))
+    sizes = flat.groupBy("schema_path", "parent_schema_path").agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("parent_path") != "", 1)).alias("n_with_parent"))
     names = (
         flat.select("schema_path", F.explode_outer(F.map_keys("scalars")).alias("_k")).distinct()
         .groupBy("schema_path").agg(F.array_join(F.array_sort(F.collect_list("_k")), ",").alias("columns"))

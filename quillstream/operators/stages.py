@@ -297,7 +297,7 @@ def linked_data(graph: Column, base: Column, document: Column) -> Column:
     none are dropped, so that the next key of a node counts."""
     raw = _graph.asNondeterministic()(graph["nodes"], base, document)
     dated = lambda c: c["field_name"].isin("publishedAt", "modifiedAt")
-    read = lambda c: _instant(text.graph_date(F.substring(c["candidate_value"], 2, 400), c["candidate_value"].startswith("s")))
+    read = lambda c: _instant(text.graph_date(F.substring(c["candidate_value"], F.lit(2), F.length(c["candidate_value"])), c["candidate_value"].startswith("s")))
     fixed = F.transform(raw, lambda c: F.when(dated(c), c.withField("candidate_value", read(c))).otherwise(c))
     return F.filter(fixed, lambda c: c["candidate_value"].isNotNull() | c["item"].isNotNull())
 

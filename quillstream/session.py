@@ -4,6 +4,7 @@ size-checked broadcasts."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -20,13 +21,17 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one
-    where it is unset, as in tests on a single machine."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a
+    temporary one on a single machine, as in tests, and an error on a cluster,
+    whose machines don't share one."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstream-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    path = path or tempfile.mkdtemp(prefix="quillstream-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from quillstream.functions import instants, zones
@@ -50,3 +51,15 @@ def test_operator_edge_cases(spark):
     status = {(r["meta_id"], r["field_name"]): r["status"] for r in made.collect()}
     assert status[2, "published_at"] == "no_zone" and status[2, "modified_at"] == "unread" and (3, "published_at") not in status
     assert timestamps.normalise_times(df.limit(0), sites, ["meta_id"], ["published_at"]).count() == 0
+
+
+def test_long_values_and_late_years():
+    tables = zones.load(["Europe/Berlin"])
+    read = lambda v: tuple(instants.read_instants(pd.Series([v]), pd.Series(["Europe/Berlin"]), pd.Series(["dmy"]), tables).iloc[0][["utc_ms", "status"]])
+    for year in (2024, 2099, 2100, 2150, 2400):
+        for month, hour in ((1, 11), (7, 10)):
+            want = int(np.datetime64(f"{year}-{month:02d}-01T{hour}:00", "ms").astype("int64"))
+            assert read(f"{year}-{month:02d}-01 12:00") == (want, "ok")
+    assert read("x" * 200_000)[1] == read("9" * 200_000)[1] == "unread"
+    plain = read("Monday, 3 June 2024, 10:15:30 (Central European Summer Time)")
+    assert read(" " * 300 + "Monday, 3 June 2024, 10:15:30 (Central European Summer Time)" + " " * 300) == plain
