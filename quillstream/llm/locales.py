@@ -115,9 +115,16 @@ def reference_forms(entries: list[tuple]) -> list[tuple[str, str, list[str]]]:
     return [(code, form, tokens) for (code, form), tokens in forms.items()]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _tokens(values: pd.Series) -> pd.Series:
-    return pd.Series([tokens_of(words_of(v)[:40]) if len(v) <= 400 else [] for v in values], dtype=object)
+def _tokens(most: int):
+    """A column function to the tokens of values; of more than ``most`` none, as
+    the length filter leaves such a set no form to be similar to."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def tokens(values: pd.Series) -> pd.Series:
+        made = (tokens_of(words_of(v)) for v in values)
+        return pd.Series([t if len(t) <= most else [] for t in made], dtype=object)
+
+    return tokens
 
 
 def _forms(locales: DataFrame) -> DataFrame:
@@ -141,20 +148,21 @@ def map_locales(df: DataFrame, locales: DataFrame, value_col: str = "locale", th
     among their first few, so only those are joined. Length and position rule
     out most of the pairs, the exact Jaccard similarity decides, and the best
     form is kept (of equals the one of the shorter code, then the lesser).
-    Edge cases: null values give no row; empty values, values of signs
-    alone and values of more than 400 characters or 40 words, which name no
-    locale, are ``unmatched``; with an empty list everything is.
+    Edge cases: null values give no row; empty values and values of signs
+    alone are ``unmatched``, with an empty list everything is; values are read
+    whole, whatever their length.
     """
     right = cut(_forms(locales))
     values = df.filter(F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("value")).agg(F.count("*").alias("n_rows"))
-    left = cut(values.withColumn("tokens", _tokens("value")))
+    longest = right.agg(F.max(F.size("tokens"))).collect()[0][0] or 0
+    left = cut(values.withColumn("tokens", _tokens(int(longest / threshold + 1e-9))("value")))
     small = right.limit(FORMS_BROADCAST + 1).count() <= FORMS_BROADCAST
 
     spread = left.select(F.explode("tokens").alias("t")).unionAll(right.select(F.explode("tokens").alias("t")))
-    # A token's number is its rank by rarity over both sides, so the order of
-    # numbers is that of rarity and the sets can be told by numbers alone.
+    # A token goes by its count over both sides and itself: ordered by rarity,
+    # and two tokens are never taken for one.
     counted = spread.groupBy("t").agg(F.count("*").alias("n"))
-    numbered = counted.select("t", (F.col("n") * F.lit(2**31) + F.pmod(F.xxhash64("t"), F.lit(2**31))).alias("r"))
+    numbered = counted.select("t", F.concat(F.lpad(F.col("n").cast("string"), 12, "0"), F.col("t")).alias("r"))
 
     def ordered(side: DataFrame, key: str) -> DataFrame:
         """Tokens by rarity, and how many of the first decide."""

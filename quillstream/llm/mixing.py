@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from ..session import cut
 
-#: Documents of a source are laid out in so many buckets, summed apart.
-BUCKETS = 256
+#: Documents of a source are laid out in so many buckets, summed apart, or in as
+#: many that one holds some ``BUCKET_ROWS`` of all documents.
+BUCKETS, BUCKET_ROWS = 256, 50_000
 #: How far the weight of a source may lean to the end (1) or the beginning (-1).
 LEAN = 0.5
 
@@ -60,7 +61,8 @@ def mix(documents: DataFrame, targets: DataFrame, counter, total_tokens: int | N
     given = documents.select(F.col(doc_id).alias("_doc"), F.col("source").alias("_source"), counter(F.col(text_col)).alias("n_tokens"))
     counted = cut(given.filter("n_tokens > 0"))
     wanted = targets.filter("target_share > 0 and max_repeats > 0").groupBy(F.col("source").alias("_source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    hashed = counted.withColumn("_h", F.xxhash64("_source", "_doc", "n_tokens")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, -(-counted.count() // BUCKET_ROWS))
+    hashed = counted.withColumn("_h", F.xxhash64("_source", "_doc", "n_tokens")).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
 
     # Bucket sums are few: sources times buckets.
     sums = hashed.groupBy("_source", "_b").agg(F.sum("n_tokens").alias("s"))
@@ -78,7 +80,9 @@ def mix(documents: DataFrame, targets: DataFrame, counter, total_tokens: int | N
     # Within a bucket the running sum; buckets of a hot source are many.
     within = hashed.withColumn("_in", F.expr("sum(n_tokens) over (partition by _source, _b order by _h, _doc rows unbounded preceding)"))
     placed = within.join(before, ["_source", "_b"]).join(plan, "_source").withColumn("_end", F.col("before") + F.col("_in"))
-    passes = placed.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+    # Only the passes that the demand reaches.
+    last = F.least(F.col("repeats") - 1, F.ceil(F.col("demand") / F.greatest(F.col("size"), F.lit(1))).cast("int"))
+    passes = placed.withColumn("pass_no", F.explode(F.sequence(F.lit(0), last)))
     used = passes.withColumn("_c", F.col("_end") + F.col("pass_no") * F.col("size")).filter(F.col("_c") <= F.col("demand") + 1e-6)
     # demand(t) = D (t + a t (t - 1)) is c; of the two roots the one in 0..1.
     x, a = F.col("_c") / F.col("demand"), F.col("a")

@@ -170,6 +170,10 @@ def _variants(text: str) -> Iterator[str]:
                         yield new
 
 
+#: Telling words from which a sentence inside of a longer text is a message.
+CONTAINED = 3
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+_MARKS = "\"'“”‘’„«».,;:!?…()"
 _MARKED = re.compile(r"[{\[<%$#@*_]|\bt\(")
 _KNOWN = _SYSTEM | _STOP | _LATIN
 
@@ -185,6 +189,18 @@ def _says_something(text: str, kept: bool = False) -> bool:
     return own > 5 and own * 4 > len(words)
 
 
+def holds_message(text: str) -> bool:
+    """Whether a sentence of a text is a message as a whole. Most sentences end
+    at their first word that systems don't use."""
+    for sentence in _SENTENCES.split(text):
+        words = sentence.lower().split()
+        if len(words) >= CONTAINED and all(w in _KNOWN or w.strip(_MARKS) in _KNOWN or w.isdigit() for w in words):
+            share, trigger, n = coverage(sentence)
+            if trigger and share == 1.0 and n >= CONTAINED:
+                return True
+    return False
+
+
 def classify(raw: str, site: str | None = None) -> tuple[str | None, float]:
     """(kind, coverage) of a value: ``placeholder``, ``empty_value``,
     ``filler``, ``message`` (errors, maintenance, notices, defaults), or None;
@@ -192,7 +208,7 @@ def classify(raw: str, site: str | None = None) -> tuple[str | None, float]:
     there."""
     marked = _MARKED.search(raw)
     if not marked and raw.isascii() and _says_something(raw):
-        return None, 0.0
+        return ("message", 1.0) if holds_message(raw) else (None, 0.0)
     text = folding.fold_all(raw)
     text = html.unescape(text) if "&" in text else text
     if not text.strip():
@@ -200,7 +216,7 @@ def classify(raw: str, site: str | None = None) -> tuple[str | None, float]:
     if (marked or text != raw) and placeholder_in(text):
         return "placeholder", 1.0
     if _says_something(text) and (_says_something(text, True) or not mojibake.suspicious(text)):
-        return None, 0.0
+        return ("message", 1.0) if holds_message(text) else (None, 0.0)
     best = 0.0
     for variant in _variants(text):
         bare = strip_site(variant.strip(), site).strip()
@@ -214,7 +230,7 @@ def classify(raw: str, site: str | None = None) -> tuple[str | None, float]:
         if trigger and n and share == 1.0:
             return "message", 1.0
         best = max(best, share)
-    return None, best
+    return ("message", 1.0) if holds_message(text) else (None, best)
 
 
 def find_residue(df: DataFrame, keys: list[str], fields: list[str], url_col: str = "original_url", site_col: str = "site_id", site_name_col: str = "site_name") -> DataFrame:
@@ -225,9 +241,9 @@ def find_residue(df: DataFrame, keys: list[str], fields: list[str], url_col: str
     aren't residue), ``n_hosts`` and ``n_rows`` (of the values alike) and ``residue``.
 
     Unfilled placeholders, rendered empty values and filler are told by their
-    form. A message is told by saying nothing else: all its telling words are
-    those of systems, in any of the languages, and the address doesn't bear
-    them out. Where only most of them are, or none is telling of a message, it
+    form. A message is told by saying nothing else, or by a sentence of it that
+    does: all its telling words are those of systems, in any of the languages,
+    and the address doesn't bear them out. Where only most of them are, or none is telling of a message, it
     has to recur on several hosts beside unlike addresses and unlike other
     fields. A value with few words of systems is none however widely it recurs,
     as set headings of unlike pages recur in the same way. Edge cases: null values give no row, empty ones

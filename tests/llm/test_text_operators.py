@@ -289,3 +289,32 @@ def test_personal_operator(spark):
     assert text == "A constituent, [NAME], asked me to raise this. Write to [EMAIL], they said. The Oswin Bridge is closed. Vote 0044-20-752 was carried. Ring [PHONE]."
     assert personal.redact(df, found).filter("doc_id = 90 and text is null and n_mentions = 0").count() == 1
     assert personal.find_personal(df.limit(0), members).count() == 0
+
+
+# ---- both sides of former bounds
+
+
+def test_messages_inside_of_longer_texts():
+    own = "The river museum lends its maps to the village school, by Marjorie Fenwick of the Ellerby Post. "
+    for n in (1, 30):
+        assert residue.classify(own * n + "Please enable JavaScript to continue.", "S")[0] == "message"
+        assert residue.classify(own * n + "Which scripts does a seed library need?", "S")[0] is None
+
+
+def test_long_locales(spark):
+    entries = spark.createDataFrame([("de-DE", "German", "Deutsch", "Germany")], "locale_code string, language_name string, native_name string, country_name string")
+    values = ["de-DE", "de-DE" + " " * 500, "de-DE;q=" + "0" * 500, "German " + "x " * 50, "German Germany", "y " * 5000]
+    df = spark.createDataFrame([(v,) for v in values], "locale string")
+    want = dict(zip(values, ["de-DE", "de-DE", "de-DE", "unmatched", "de-DE", "unmatched"], strict=True))
+    bound = locales.FORMS_BROADCAST
+    try:
+        for locales.FORMS_BROADCAST in (bound, 0):
+            assert {r["locale"]: r["locale_code"] for r in locales.map_locales(df, entries).collect()} == want
+    finally:
+        locales.FORMS_BROADCAST = bound
+
+
+def test_long_words_at_a_cut(spark):
+    full = [f"The night market sells a floating library near {p}." for p in ("Ellerby", "Larkholm", "Tarnwick")]
+    rows = [(i, 1, None, t, None, None, None) for i, t in enumerate([*full, "In Corvanne a keeper sells a floating libr", "A " + "z" * 50_000 + " is a word", "One two " + "q" * 50_000])]
+    assert [(r["meta_id"], r["reason"]) for r in truncation.find_cut(links(spark, rows), ["meta_id"], "description").collect()] == [(3, "word")]
