@@ -80,6 +80,21 @@ def test_clean_stays(model):
     assert repairer.repair("red�couvre")[0] == "garbled" and repairer.repair("TardÃƒÂ³ 19 aÃƒÂ±os")[1] == "Tardó 19 años"
 
 
+@pytest.mark.parametrize(("bad", "good"), [
+    ("The townâ€™s oldest bakery", "The town’s oldest bakery"), ("Wexmere diary â€“ the old signal box", "Wexmere diary – the old signal box"), ("An island Â½ price", "An island ½ price"),
+    ("La ni–a del tranv’a repara el cami—n de los ni–os", "La niña del tranvía repara el camión de los niños"),
+])
+def test_garbling_that_leaves_common_signs(model, bad, good):
+    # Each sign is one that the language writes; that they stand so is told by the description.
+    assert mojibake.Repairer(model).repair(bad)[:2] == ("restored", good)
+
+
+def test_signs_that_stand_right(model):
+    repairer = mojibake.Repairer(model)
+    for text in ["Nobody—not even Ellerby—knows", "L’école de l’île", "CAFÉ» de l’ÎLE", "ÂGE D’OR", "NÃO «SÃO»", "18ｷﾛの散歩道"]:
+        assert repairer.repair(text)[0] == "clean"
+
+
 def test_every_language_that_fits_is_measured():
     text = "Zéphyrine Quévrémont"
     assert {"fr", "it", "pt"} <= set(mojibake.languages_of(text))
