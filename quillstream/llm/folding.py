@@ -33,6 +33,9 @@ _EMOJI = "©®‼⁉™ℹ←-⇿⌀-⏿①-⓿■-➿⤀-⥿⬀-⯿〰〽㊗㊙
 _JOINS = re.compile(f"(?<=[{_EMOJI}️\U0001f3fb-\U0001f3ff])(?:️|‍(?=[{_EMOJI}])|[\U000e0020-\U000e007f]+)")
 #: Joiners that the spelling of Arabic and Indic scripts needs.
 _SPELLED = re.compile("(?<=[؀-ࣿऀ-෿က-႟])[‌‍](?=[؀-ࣿऀ-෿က-႟])")
+_BEYOND = re.compile("[^\x00-\x7f]")
+#: Letters of the scripts that are told apart; a text of one of them mixes none.
+_OF_SCRIPTS = tuple(re.compile(f"[{p}]") for p in ("A-Za-zª-ʯᴀ-ᶿḀ-ỿⱠ-Ɀ꜠-ꟿꬰ-꭯ﬀ-ﬆ", "Ѐ-ԯᲀ-\u1c8fⷠ-ⷿꙀ-ꚟ", "Ͱ-Ͽἀ-\u1fff"))
 _STYLES = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<square>")
 
 
@@ -75,7 +78,7 @@ def fold_forms(text: str) -> str:
         return text
     text = strip_widthless(text)
     text = _BLANKS.sub(" ", text)
-    text = "".join(plain_form(c) for c in text)
+    text = _BEYOND.sub(lambda m: plain_form(m.group()), text)
     return unicodedata.normalize("NFC", text)
 
 
@@ -98,7 +101,7 @@ def chunks(text: str) -> list[tuple[int, int, str, str]]:
     end, token, token in the script it should have). The dominant script is
     that of most letters which look like no other's; a token of look-alikes
     alone goes by the rest of the text."""
-    if text.isascii():
+    if text.isascii() or sum(p.search(text) is not None for p in _OF_SCRIPTS) < 2:
         return []
     found, scripts = [], {}
     for m in _CHUNK.finditer(text):

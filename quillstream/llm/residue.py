@@ -185,16 +185,21 @@ def _says_something(text: str, kept: bool = False) -> bool:
     words = text.lower().split()
     if len(words) < 5:
         return False
-    own = sum((w.isascii() or not kept) and w not in _KNOWN and w.strip("\"'“”‘’„«».,:;!?…()") not in _KNOWN and not w.isdigit() for w in words)
-    return own > 5 and own * 4 > len(words)
+    enough = max(6, len(words) // 4 + 1)
+    for w in words:
+        if (w.isascii() or not kept) and w not in _KNOWN and w.strip(_MARKS) not in _KNOWN and not w.isdigit():
+            enough -= 1
+            if not enough:
+                return True
+    return False
 
 
 def holds_message(text: str) -> bool:
     """Whether a sentence of a text is a message as a whole. Most sentences end
     at their first word that systems don't use."""
     for sentence in _SENTENCES.split(text):
-        words = sentence.lower().split()
-        if len(words) >= CONTAINED and all(w in _KNOWN or w.strip(_MARKS) in _KNOWN or w.isdigit() for w in words):
+        words = sentence.lower().split(None, CONTAINED)
+        if len(words) >= CONTAINED and all(w in _KNOWN or w.strip(_MARKS) in _KNOWN or w.isdigit() for w in words[:CONTAINED]):
             share, trigger, n = coverage(sentence)
             if trigger and share == 1.0 and n >= CONTAINED:
                 return True

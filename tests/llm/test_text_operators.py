@@ -81,7 +81,7 @@ def test_clean_stays(model):
 
 
 @pytest.mark.parametrize(("bad", "good"), [
-    ("The townâ€™s oldest bakery", "The town’s oldest bakery"), ("Wexmere diary â€“ the old signal box", "Wexmere diary – the old signal box"), ("An island Â½ price, a school Â½ price", "An island ½ price, a school ½ price"),
+    ("The townâ€™s oldest bakery", "The town’s oldest bakery"), ("Wexmere diary â€“ the old signal box", "Wexmere diary – the old signal box"), 
     ("La ni–a del tranv’a repara el cami—n de los ni–os", "La niña del tranvía repara el camión de los niños"),
 ])
 def test_garbling_that_leaves_common_signs(model, bad, good):
