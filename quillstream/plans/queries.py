@@ -163,9 +163,13 @@ def cache_evict(spark, d):
 
 
 def cache_write(spark, d):
-    """The cache after every other entry was written anew."""
-    entries = table(spark, d, "cache_entries")
-    fresh = entries.filter("pmod(xxhash64(cache_key), 2) = 0").withColumn("created_at_ms", F.lit(NOW_MS).cast("bigint"))
+    """The cache after every page was written by its address, the newest fetch
+    of an address last."""
+    entries, links = table(spark, d, "cache_entries"), table(spark, d, "link_metadata")
+    fresh = links.filter("resolved_url is not null and fetched_at is not null").select(
+        urls.cache_key(F.col("resolved_url")).alias("cache_key"), F.lit("metadata").alias("kind"), F.unix_millis("fetched_at").alias("created_at_ms"), F.lit("neverExpires").alias("lifetime_kind"),
+        F.lit(None).cast("bigint").alias("duration_ms"), F.lit(None).cast("bigint").alias("last_access_ms"), F.to_json(F.struct("title", "description")).alias("payload"),
+    )
     return cache.write(entries, fresh, NOW_MS).select("cache_key", "created_at_ms")
 
 
@@ -212,6 +216,45 @@ def graph_articles(spark, d):
     return made.select("o_orderkey", "title", "kind", "author", F.date_format("published_at", "yyyy-MM-dd").alias("published"), F.array_join("keywords", "|").alias("keywords"))
 
 
+def _supplier_pages(spark, d, html):
+    """A page for each supplier, made of its columns, read back."""
+    return parse.parse_html(table(spark, d, "supplier").select("s_suppkey", F.lit("https://s.example/a/b").alias("url"), html.alias("html")), options=parse.Options(skip=frozenset({"jsonLd"})))
+
+
+def og_fields(spark, d):
+    """Open Graph before everything else of a page."""
+    k, prop = F.col("s_suppkey").cast("string"), lambda p, v: F.concat(F.lit(f'<META property="og:{p}" content="'), v, F.lit('">'))
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "article").when(F.col("s_suppkey") % 3 == 1, "website").otherwise("video.movie")
+    page = F.concat(F.lit("<title>no</title>"), prop("title", F.concat(F.lit("  A &amp;  "), F.col("s_name"))), prop("description", F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))), prop("site_name", F.col("s_name")), prop("locale", F.lit("en_US")), prop("type", kind), prop("url", F.concat(F.lit("../c/"), k, F.lit("#x"))), F.lit('<meta property="article:tag" content="one"><meta property="article:tag" content="ONE">'))
+    return _supplier_pages(spark, d, page).select("s_suppkey", "title", "description", "site_name", "locale", "kind", "canonical_url", F.array_join("keywords", "|").alias("keywords"))
+
+
+def twitter_fallback(spark, d):
+    """Twitter cards where Open Graph is silent, by name or property."""
+    k, prop = F.col("s_suppkey").cast("string"), lambda a, p, v: F.concat(F.lit(f'<meta {a}="twitter:{p}" content="'), v, F.lit('">'))
+    page = F.concat(F.lit("<title>no</title>"), prop("name", "title", F.col("s_name")), prop("property", "description", F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))), prop("name", "creator", F.concat(F.lit("@"), k)), prop("name", "image:src", F.concat(F.lit("/i/"), k, F.lit(".png"))), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('<meta property="og:title" content="og '), k, F.lit('">'))).otherwise(""))
+    made = _supplier_pages(spark, d, page)
+    return made.select("s_suppkey", "title", "description", "author", F.col("images")[0]["url"].alias("image"))
+
+
+def std_meta(spark, d):
+    """Titles, names, dates and keywords that pages state themselves."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_suppkey")
+    title = F.when(n % 2 == 0, F.concat(F.lit("<title> T \n"), k, F.lit("</title>"))).otherwise("")
+    date = F.when(n % 3 == 0, F.concat((n + 1_700_000_000).cast("string"))).when(n % 3 == 1, "20240105").otherwise("2024-01-05T10:00:00+02:00")
+    page = F.concat(F.lit('<html lang="de">'), title, F.lit("<h1>H "), k, F.lit('</h1><meta name=description content="'), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")), F.lit('"><meta name="application-name" content="'), F.col("s_name"), F.lit('"><meta name=author content=A><meta name="keywords" content="x; y,'), k, F.lit(',X"><meta name=pubdate content="'), date, F.lit('"><meta itemprop="dateModified" content="junk">'))
+    made = _supplier_pages(spark, d, page)
+    return made.select("s_suppkey", "title", "description", "site_name", "locale", "author", F.unix_millis("published_at").alias("published_ms"), F.col("modified_at").isNull().alias("no_change"), F.array_join("keywords", "|").alias("keywords"))
+
+
+def unsafe_hosts(spark, d):
+    """Hosts in forms that hide an address, and why they are refused."""
+    n = F.col("s_suppkey")
+    forms = ["localhost", "a.LOCALHOST", "printer.local", "metadata.", "1.2.3.4.5", "0x7f.0x0.0.1", "2130706433", "nas.lan", "0x.example", "010.0.0.1", "[::1]", "[::ffff:8.8.8.8]", "[fd12::1]", "8.8.8.8."]
+    host = F.element_at(F.array(*[F.lit(f) for f in forms]), (n % len(forms) + 1).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", host.alias("host"), urls.unsafe_host(host).alias("reason"))
+
+
 def graph_nodes(spark, d):
     """Nodes of stored graphs by the limits of a walk."""
     walk = linked_data.graph_of(F.transform("nodes", lambda n: F.struct(F.lit("script").alias("tag"), F.create_map(F.lit("type"), F.lit("application/ld+json")).alias("attrs"), n.alias("text"))))
@@ -252,7 +295,7 @@ QUERIES = {
         p1_found, p1_report, p7_found, p7_tables, url_parse_loose, url_cache_key, url_proxy, url_https, url_same_origin, url_resolve, request_coalescing, unsafe_targets,
         rank_candidates, field_winners, field_provenance, image_collection, candidate_decisions, page_metadata, page_candidates, raw_metadata, charset_decode, terminal_checks,
         redirect_chains, url_optimize, cache_valid, cache_purge, cache_evict, cache_write, batch_extract, oembed_json, oembed_xml, manifest_json, open_graph_images, graph_articles,
-        graph_nodes, link_icons, result_status, metadata_roundtrip,
+        og_fields, twitter_fallback, std_meta, unsafe_hosts, graph_nodes, link_icons, result_status, metadata_roundtrip,
     )
 }
 
@@ -313,4 +356,29 @@ ORACLES: dict[str, str] = {
     "result_status": """WITH k AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS n FROM events)
         SELECT event_id, CASE WHEN n % 7 = 0 THEN 'failure' WHEN n % 2 = 0 AND n % 3 <> 1 THEN 'partial' ELSE 'success' END AS status FROM k""",
     "metadata_roundtrip": "SELECT true AS same, count(*) AS n FROM link_metadata",
+    "cache_write": f"""WITH f AS (SELECT 'meta:' || sha256(resolved_url) AS cache_key, max(epoch_us(fetched_at) // 1000) AS created_at_ms FROM link_metadata WHERE resolved_url IS NOT NULL AND fetched_at IS NOT NULL GROUP BY 1)
+        SELECT cache_key, created_at_ms FROM cache_entries WHERE cache_key NOT IN (SELECT cache_key FROM f) UNION ALL SELECT cache_key, created_at_ms FROM f""",
+    "candidate_decisions": _RANKED + f""", k AS (SELECT *, CASE WHEN field_name = 'keywords' THEN lower(trim(candidate_value)) ELSE item.url END AS key FROM r WHERE field_name IN ({", ".join(f"'{f}'" for f in ranking.LIMITS)})),
+        g AS (SELECT *, min(rank) OVER (PARTITION BY doc_id, field_name, key) AS fr, {", ".join(f"coalesce(max(CASE WHEN item.{a} IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, field_name, key ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had_{a}" for a in ranking.MERGED)} FROM k WHERE key IS NOT NULL AND key <> ''),
+        h AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, field_name ORDER BY fr) AS place FROM g),
+        c AS (SELECT field_name, source, place <= CASE field_name {" ".join(f"WHEN '{f}' THEN {n}" for f, n in ranking.LIMITS.items())} END AND (rank = fr OR field_name <> 'keywords' AND ({" OR ".join(f"item.{a} IS NOT NULL AND had_{a} = 0" for a in ranking.MERGED)})) AS selected FROM h
+          UNION ALL SELECT field_name, source, rank = 1 FROM r WHERE field_name NOT IN ({", ".join(f"'{f}'" for f in ranking.LIMITS)}))
+        SELECT field_name, source, selected, count(*) AS n FROM c GROUP BY ALL""",
+    "p7_found": """WITH RECURSIVE n AS (SELECT graph_id, unnest(nodes) AS t, unnest(range(len(nodes))) AS pos FROM structured_data WHERE len(nodes) > 0),
+        w(graph_id, path, parent_path, v) AS (
+          SELECT graph_id, CAST(pos AS VARCHAR), '', CAST(t AS JSON) FROM n WHERE t IS NOT NULL AND json_valid(t)
+          UNION ALL
+          SELECT graph_id, path || '/' || k, CASE WHEN json_type(v) = 'OBJECT' THEN path ELSE parent_path END, c FROM (
+            SELECT graph_id, path, parent_path, v, k, CASE WHEN json_type(v) = 'OBJECT' THEN v -> k ELSE v -> CAST(k AS BIGINT) END AS c FROM (
+              SELECT graph_id, path, parent_path, v, unnest(CASE json_type(v) WHEN 'OBJECT' THEN json_keys(v) WHEN 'ARRAY' THEN CAST(range(json_array_length(v)::BIGINT) AS VARCHAR[]) ELSE [] END) AS k FROM w))
+          WHERE json_type(c) IN ('OBJECT', 'ARRAY'))
+        SELECT graph_id, path, parent_path FROM w WHERE json_type(v) = 'OBJECT' AND len(json_keys(v)) > 0""",
+    "og_fields": """SELECT s_suppkey, 'A & ' || s_name AS title, 'nation ' || s_nationkey AS description, s_name AS site_name, 'en_US' AS locale, CASE s_suppkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'other' ELSE 'video' END AS kind,
+        'https://s.example/c/' || s_suppkey AS canonical_url, 'one' AS keywords FROM supplier""",
+    "twitter_fallback": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'og ' || s_suppkey ELSE s_name END AS title, 'nation ' || s_nationkey AS description, '@' || s_suppkey AS author, 'https://s.example/i/' || s_suppkey || '.png' AS image FROM supplier",
+    "std_meta": """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'T ' || s_suppkey ELSE 'H ' || s_suppkey END AS title, 'nation ' || s_nationkey AS description, s_name AS site_name, 'de' AS locale, 'A' AS author,
+        CASE s_suppkey % 3 WHEN 0 THEN (s_suppkey + 1700000000) * 1000 WHEN 1 THEN epoch_ms(TIMESTAMP '2024-01-05 00:00:00') ELSE epoch_ms(TIMESTAMP '2024-01-05 08:00:00') END::BIGINT AS published_ms, true AS no_change, 'x|y|' || s_suppkey AS keywords FROM supplier""",
+    "unsafe_hosts": """WITH f(i, host, reason) AS (VALUES (0, 'localhost', 'local_name'), (1, 'a.LOCALHOST', 'local_name'), (2, 'printer.local', 'local_name'), (3, 'metadata.', 'local_name'), (4, '1.2.3.4.5', 'ambiguous_numeric'), (5, '0x7f.0x0.0.1', 'ambiguous_numeric'),
+        (6, '2130706433', 'ambiguous_numeric'), (7, 'nas.lan', NULL), (8, '0x.example', NULL), (9, '010.0.0.1', 'ambiguous_numeric'), (10, '[::1]', 'local_ipv6'), (11, '[::ffff:8.8.8.8]', NULL), (12, '[fd12::1]', 'reserved_ipv6'), (13, '8.8.8.8.', NULL))
+        SELECT s_suppkey, host, reason FROM supplier JOIN f ON s_suppkey % 14 = i""",
 }
