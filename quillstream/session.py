@@ -11,9 +11,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup table may be shipped to every task.
-BROADCAST_ROWS = 200_000
-
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """``name`` of the given directory of Parquet tables."""
@@ -53,13 +50,6 @@ def scratch(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 
 
-def bounded_rows(df: DataFrame, bound: int = BROADCAST_ROWS) -> list | None:
-    """The rows of a lookup table if there are at most ``bound`` of them, else
-    None. At most ``bound + 1`` rows ever reach the driver."""
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
-
-
 def melt(df: DataFrame, keys: list[str], fields: list[str], value: str = "raw") -> DataFrame:
     """Turns the columns ``fields`` into rows (keys..., field_name, value);
     null values yield no row."""
