@@ -2,7 +2,9 @@
 description length.
 
 A value is described by its bytes under a zstandard dictionary of its
-language, plus a charge for every character that the language doesn't write.
+language, in which a character beyond ASCII takes one and those that its rarity
+in the language asks for, plus a charge for every character that the language
+doesn't write. Dictionaries and rarity are from counts over all values.
 A repair undoes one or more wrong decodings; it is chosen if it makes the
 description, chain included, shorter than that of the value as it stands.
 """
@@ -10,21 +12,24 @@ description, chain included, shorter than that of the value as it stands.
 from __future__ import annotations
 
 import codecs
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import melt
+from ..session import melt, scratch
 from . import folding
 
-#: Values that the dictionaries are trained on, over all languages, at most.
-TRAINING_VALUES = 24_000
-DICTIONARY_BYTES = 32_768
+#: Size of a language's dictionary; longer tokens, a few of which would fill it, are no words of it.
+DICTIONARY_BYTES, WORD_BYTES = 32_768, 512
+#: Counts that a task of ``survey`` holds before it hands them on to be added up.
+HELD_COUNTS = 200_000
 #: Bytes charged for a step of a chain, and for a character foreign to the language.
 STEP_COST, FOREIGN_COST = 2, 6
 MAX_STEPS = 3
@@ -59,6 +64,8 @@ _LOST = re.compile("[\x80-\x9f�-]")
 _TIDIED = re.compile(r"Ã (?=\S| )|Ã(?=[a-z])")
 _LEFT_OVER = re.compile(r"\s[^\W\d_]$")
 _WORDS = re.compile(r"[^\W\d_]+")
+_JAPANESE_WORDS = re.compile("[㐀-鿿々]+[ぁ-ゟ]*|[ァ-ヿ]+|[ぁ-ゟ]+")
+_AROUND_WORDS = ".,;:!?…()[]{}\"'“”„«»‘’—–-|/。、「」・"
 _SIGN_IN_WORD = re.compile(r"(?<=[^\W\d_])[¢£¤¥¦§¨©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾×÷¿¡†‡‰‹›€ƒ„‚ˆ˜√≥≤∂∑∏∫≈∆◊•](?=[^\W\d_])")
 
 # Bytes 80 to BF as Western charsets show them; what UTF-8 makes of letters,
@@ -211,9 +218,13 @@ class Repairer:
             data.precompute_compress(level=level)
             self.packers[lang] = zstandard.ZstdCompressor(dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
+        # Bytes that tell a character among all of its language; one never seen is half as frequent as one seen once.
+        counted = model.get("characters", {})
+        self.rarity = {lang: {c: math.log2(n[""] / n[c]) / 8 for c in n if c} | {"": math.log2(2 * n[""]) / 8} for lang, n in counted.items()}
+        self.unknown = {"": max((r[""] for r in self.rarity.values()), default=0.0)}
         self.known: dict[tuple, tuple[str, str, str]] = {}
 
-    def measure(self, text: str) -> tuple[int, int]:
+    def measure(self, text: str) -> tuple[float, int]:
         """(description in bytes, foreign characters) in the language that
         describes a text best."""
         raw = text.encode("utf-8", "surrogatepass")
@@ -221,8 +232,17 @@ class Repairer:
         least = odd[0][0]
         few = [(n, x) for n, x in odd if n <= least + 1]
         # English seldom writes a letter beyond ASCII; each counts as a rare one.
-        rare = sum(c.isalpha() and c < "\u0370" for c in _BEYOND.findall(text))
-        return min((len(self.packers.get(x, self.plain).compress(raw)) + FOREIGN_COST * n + rare * (x == "en"), n) for n, x in few)
+        beyond = _BEYOND.findall(text)
+        rare = sum(c.isalpha() and c < "\u0370" for c in beyond)
+        return min((len(self.packers.get(x, self.plain).compress(raw)) + self._rarity(beyond, x) + FOREIGN_COST * n + rare * (x == "en"), n) for n, x in few)
+
+    def _rarity(self, chars: list[str], lang: str) -> float:
+        """What ``chars`` take by their rarity, beside one byte each; the bytes
+        more that UTF-8 has for them tell nothing."""
+        if not self.rarity:
+            return 0
+        known = self.rarity.get(lang, self.unknown)
+        return sum(known.get(c, known[""]) for c in chars) + len(chars) - len("".join(chars).encode("utf-8", "surrogatepass"))
 
     def _steps(self, text: str, hint: str) -> dict[str, tuple[str, int]]:
         """Texts of one repair: text to (wrong>right, cost)."""
@@ -364,28 +384,82 @@ def _mend_utf8(text: str, wrong: str) -> str | None:
     return new if changed else None
 
 
-def train(df: DataFrame, columns: list[str], values: int = TRAINING_VALUES) -> dict:
-    """A dictionary for each language, from at most ``values`` unsuspicious
-    texts spread by hash over all rows. The bound is that of a classifier's
-    training set; nothing else is sampled."""
-    texts = df.select(F.explode(F.array_compact(F.array(*[F.col(c) for c in columns]))).alias("t")).filter("length(t) between 8 and 2000")
-    share = max(1, -(-df.count() * len(columns) // values))
-    by: dict[str, list[bytes]] = {}
-    ideographs: set[str] = set()
-    for (t,) in texts.filter(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).limit(values).collect():
-        if not suspicious(t) and folding.fold_all(t) == t:
-            langs = languages_of(t)
-            for lang in langs if len(langs) < 3 else ():
-                by.setdefault(lang, []).append(t.encode("utf-8", "replace"))
-            if langs == ("ja",):
-                ideographs.update(c for c in t if "㐀" <= c <= "鿿")
-    out = {}
-    for lang, samples in by.items():
-        try:
-            out[lang] = (zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), True)
-        except zstandard.ZstdError:  # too few samples to train on
-            out[lang] = (b"\n".join(samples)[-DICTIONARY_BYTES:], False)
-    return {"dictionaries": {k: v for k, v in out.items() if len(v[0]) >= 8}, "ideographs": "".join(sorted(ideographs))}
+def survey(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """All values (keys, ``field_name``, ``raw``) read once: a row for each that
+    might be garbled, and of the others how often a language (``_lang``) has each
+    word and each character beyond ASCII (``_kind`` word or character, ``_text``,
+    ``_n`` to be added up; the character "" stands for all characters)."""
+    given = cells.select(*keys, "field_name", "raw")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields)
+    counted = [("_lang", pa.string()), ("_kind", pa.string()), ("_text", pa.string()), ("_n", pa.int64())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], Counter] = {}
+
+        def add_up(schema: pa.Schema) -> pa.RecordBatch:
+            rows = [(lang, kind, text, n) for (lang, kind), c in counts.items() for text, n in c.items()]
+            counts.clear()
+            held = [pa.array(values, t) for values, (_, t) in zip(zip(*rows, strict=True), counted, strict=True)]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), f.type) for f in schema), *held], [*schema.names, *(name for name, _ in counted)])
+
+        schema = None
+        for batch in batches:
+            schema, at = batch.schema, []
+            for i, text in enumerate(batch.column("raw").to_pylist()):
+                if suspicious(text):
+                    at.append(i)
+                elif folding.fold_all(text) == text:
+                    langs = languages_of(text)
+                    for lang in langs if len(langs) < 3 else ():
+                        counts.setdefault((lang, "word"), Counter()).update(words_of(text, lang))
+                        characters = counts.setdefault((lang, "character"), Counter())
+                        characters.update(_BEYOND.findall(text))
+                        characters[""] += len(text)
+            if at:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int32())).columns, *(pa.nulls(len(at), t) for _, t in counted)], [*schema.names, *(name for name, _ in counted)])
+            if sum(map(len, counts.values())) > HELD_COUNTS:
+                yield add_up(schema)
+        if counts:
+            yield add_up(schema)
+
+    return given.mapInArrow(read, f"{types}, _lang string, _kind string, _text string, _n long")
+
+
+def words_of(text: str, lang: str) -> list[str]:
+    """Words as a dictionary has them; of Japanese, runs of ideographs with the
+    kana that follow, and runs of kana."""
+    if lang == "ja":
+        return _JAPANESE_WORDS.findall(text)
+    return [w for w in (token.strip(_AROUND_WORDS) for token in text.split()) if w]
+
+
+def model_of(surveyed: DataFrame) -> dict:
+    """Dictionaries, characters and ideographs by the counts of ``survey``,
+    added up over all rows. A dictionary is of the words that save most, as many
+    as it holds; characters are bounded by Unicode."""
+    counts = surveyed.filter("_kind is not null").groupBy(*(F.col(f"_{c}").alias(c) for c in ("lang", "kind", "text"))).agg(F.sum("_n").alias("n"))
+    # What a word takes in the dictionary, and what having it there saves; matches begin at four bytes.
+    sized = counts.filter("kind = 'word'").withColumn("size", F.octet_length("text") + F.when(F.col("lang") == "ja", 0).otherwise(1)).filter(f"size between 4 and {WORD_BYTES}")
+    best = Window.partitionBy("lang").orderBy(((F.col("n") - 1) * F.col("size")).desc(), "text")
+    ranked = sized.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= DICTIONARY_BYTES // 4)
+    filled = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    held = ranked.withColumn("filled", filled).filter(F.col("filled") <= DICTIONARY_BYTES)
+    words: dict[str, list[tuple[int, str]]] = {}
+    characters: dict[str, dict[str, int]] = {}
+    for r in held.select("lang", "text", "n", "rank").unionByName(counts.filter("kind = 'character'").select("lang", "text", "n", F.lit(0).alias("rank"))).collect():
+        if r["rank"]:
+            words.setdefault(r["lang"], []).append((r["rank"], r["text"]))
+        else:
+            characters.setdefault(r["lang"], {})[r["text"]] = r["n"]
+    # The words that save most come last, where they are cheapest to point at.
+    out = {lang: "".join(w if lang == "ja" else f" {w}" for _, w in sorted(ws, reverse=True)).encode() for lang, ws in words.items()}
+    ideographs = "".join(sorted(c for c in characters.get("ja", ()) if "㐀" <= c <= "鿿"))
+    return {"dictionaries": {lang: (raw, False) for lang, raw in out.items() if len(raw) >= 8}, "characters": characters, "ideographs": ideographs}
+
+
+def train(df: DataFrame, columns: list[str]) -> dict:
+    """The model of ``columns``, from all their values."""
+    return model_of(scratch(survey(melt(df, [], columns), []), ["_lang", "_kind", "_text", "_n"]))
 
 
 _REPAIRERS: dict[int, Repairer] = {}
@@ -419,11 +493,17 @@ def find_garbled(df: DataFrame, keys: list[str], fields: list[str], diagnostics:
     empty and ASCII values are never garbled; a value with a replacement or
     control character always is; repeated rows come out each; rows without
     diagnostics, or with several, do as well; other columns are ignored. Texts
-    are searched whole whatever their length.
+    are searched whole whatever their length. Without a ``model`` all values are
+    read once for it, and what might be garbled is kept to be searched.
     """
     spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast(model or train(df, fields))  # a few dictionaries of bounded size
-    cells = melt(df, keys, fields).filter(F.col("raw").rlike(r"[^\x00-\x7f]"))
+    cells = melt(df, keys, fields)
+    if model:
+        cells = cells.filter(F.col("raw").rlike(r"[^\x00-\x7f]"))
+    else:
+        surveyed = scratch(survey(cells, keys))
+        cells, model = surveyed.filter("_kind is null").select(cells.columns), model_of(surveyed)
+    shipped = spark.sparkContext.broadcast(model)  # a few dictionaries of bounded size
     if diagnostics is not None:
         seen = diagnostics.filter("detected_charset is not null").groupBy("meta_id").agg(F.min(F.lower(F.trim("detected_charset"))).alias("_label"))
         cells = cells.join(seen, "meta_id", "left")

@@ -112,6 +112,18 @@ def test_garbled_operator(spark, model):
     assert mojibake.find_garbled(df.limit(0), ["meta_id"], ["title"]).count() == 0
 
 
+def test_models_are_of_all_values(spark, monkeypatch):
+    # Words and ideographs that one value of 50,000 has are in the model, and each character is counted; sums are handed on in parts.
+    monkeypatch.setattr(mojibake, "HELD_COUNTS", 10)
+    rare = ["鰯と蕎麦の物語を読む。", "蜻蛉が棲む池の辺りで。", "Музей ящерицы возвращает сад после лета.", "La niña del ñandú y los pájaros cerca del puerto.", "Die Gärtnerin und der Äschenfluss öffnet den Flügel."]
+    df = spark.range(50_000).select(F.concat(F.lit("The harbour café of the town and its number "), F.col("id")).alias("title"))
+    model = mojibake.train(df.union(spark.createDataFrame([(t,) for t in rare], "title string")), ["title"])
+    assert set(model["ideographs"]) == {c for t in rare[:2] for c in t if "㐀" <= c <= "鿿"}
+    assert model["characters"]["en"]["é"] == 50_000
+    words = {lang: raw.decode() for lang, (raw, _) in model["dictionaries"].items()}
+    assert " ящерицы" in words["ru"] and " ñandú" in words["es"] and " Äschenfluss" in words["de"] and words["en"].endswith(" harbour") and len(words["en"].encode()) <= mojibake.DICTIONARY_BYTES
+
+
 # ---- look-alikes
 
 
