@@ -141,6 +141,15 @@ def test_unify(spark, model):
     assert lookalikes.unify(df.limit(0), ["meta_id"], ["title"], model).count() == 0
 
 
+def test_unify_knows_words_of_all_values(spark):
+    # That two are garbled, and so left alone, is told by the words of one value of 60,000.
+    words = "El tranvía de la señorita Peñaranda y el camión de la cañería del montañero Ibáñez en la montaña"
+    frequent = spark.range(30_000).select(F.concat(F.lit("The harbour cafe of the town and its number "), F.col("id")).alias("title"), F.concat(F.lit("The Paper of the town "), F.col("id")).alias("site_name"))
+    few = spark.createDataFrame([(words, "del\ttranv’a en la monta–a"), ("La\tse–orita Pe–aranda", None)], "title string, site_name string")
+    df = frequent.union(few).withColumn("meta_id", F.monotonically_increasing_id())
+    assert lookalikes.unify(df, ["meta_id"], ["title", "site_name"]).filter("changed").count() == 0
+
+
 # ---- truncation
 
 
