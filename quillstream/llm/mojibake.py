@@ -28,6 +28,8 @@ from . import folding
 
 #: Size of a language's dictionary; longer tokens, a few of which would fill it, are no words of it.
 DICTIONARY_BYTES, WORD_BYTES = 32_768, 512
+#: Parts that a count is added up in, so that any number of languages share it evenly.
+PARTS = math.lcm(*range(1, 10))
 #: Counts that a task of ``survey`` holds before it hands them on to be added up.
 HELD_COUNTS = 200_000
 #: Bytes charged for a step of a chain, and for a character foreign to the language.
@@ -220,7 +222,8 @@ class Repairer:
         self.plain = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
         # Bytes that tell a character among all of its language; one never seen is half as frequent as one seen once.
         counted = model.get("characters", {})
-        self.rarity = {lang: {c: math.log2(n[""] / n[c]) / 8 for c in n if c} | {"": math.log2(2 * n[""]) / 8} for lang, n in counted.items()}
+        total = {lang: max(n[""], 1) for lang, n in counted.items()}
+        self.rarity = {lang: {c: math.log2(total[lang] / max(n[c], 0.5)) / 8 for c in n if c} | {"": math.log2(2 * total[lang]) / 8} for lang, n in counted.items()}
         self.unknown = {"": max((r[""] for r in self.rarity.values()), default=0.0)}
         self.known: dict[tuple, tuple[str, str, str]] = {}
 
@@ -384,11 +387,33 @@ def _mend_utf8(text: str, wrong: str) -> str | None:
     return new if changed else None
 
 
-def survey(cells: DataFrame, keys: list[str]) -> DataFrame:
+def fitting(text: str) -> tuple[str, ...]:
+    """Of the languages a text may be in, those that write its letters best."""
+    langs = languages_of(text)
+    if len(langs) == 1 or text.isascii():
+        return langs
+    odd = [foreign(text, lang) for lang in langs]
+    return tuple(lang for lang, n in zip(langs, odd, strict=True) if n == min(odd))
+
+
+def counted_as(text: str, untold: bool) -> tuple[str, tuple[str, ...]]:
+    """The text that ``survey`` counts for a value, and what it counts it for."""
+    if not untold:
+        langs = () if suspicious(text) or folding.fold_all(text) != text else languages_of(text)
+        return text, langs if len(langs) < 3 else ()
+    plain = folding.fold_all(text)
+    doubtful = suspicious(plain) or plain != text and _LOST.search(text)
+    return plain, (",".join(fitting(plain)),) if plain and not doubtful else ()
+
+
+def survey(cells: DataFrame, keys: list[str], untold: bool = False) -> DataFrame:
     """All values (keys, ``field_name``, ``raw``) read once: a row for each that
     might be garbled, and of the others how often a language (``_lang``) has each
     word and each character beyond ASCII (``_kind`` word or character, ``_text``,
-    ``_n`` to be added up; the character "" stands for all characters)."""
+    ``_n`` to be added up; the character "" stands for all characters). With
+    ``untold`` also of those that three languages or more fit, counted for all
+    that fit together (``_lang`` with commas), and of disguised ones as what they
+    look like."""
     given = cells.select(*keys, "field_name", "raw")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields)
     counted = [("_lang", pa.string()), ("_kind", pa.string()), ("_text", pa.string()), ("_n", pa.int64())]
@@ -408,13 +433,12 @@ def survey(cells: DataFrame, keys: list[str]) -> DataFrame:
             for i, text in enumerate(batch.column("raw").to_pylist()):
                 if suspicious(text):
                     at.append(i)
-                elif folding.fold_all(text) == text:
-                    langs = languages_of(text)
-                    for lang in langs if len(langs) < 3 else ():
-                        counts.setdefault((lang, "word"), Counter()).update(words_of(text, lang))
-                        characters = counts.setdefault((lang, "character"), Counter())
-                        characters.update(_BEYOND.findall(text))
-                        characters[""] += len(text)
+                plain, langs = counted_as(text, untold)
+                for lang in langs:
+                    counts.setdefault((lang, "word"), Counter()).update(words_of(plain, lang))
+                    characters = counts.setdefault((lang, "character"), Counter())
+                    characters.update(_BEYOND.findall(plain))
+                    characters[""] += len(plain)
             if at:
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int32())).columns, *(pa.nulls(len(at), t) for _, t in counted)], [*schema.names, *(name for name, _ in counted)])
             if sum(map(len, counts.values())) > HELD_COUNTS:
@@ -435,12 +459,15 @@ def words_of(text: str, lang: str) -> list[str]:
 
 def model_of(surveyed: DataFrame) -> dict:
     """Dictionaries, characters and ideographs by the counts of ``survey``,
-    added up over all rows. A dictionary is of the words that save most, as many
-    as it holds; characters are bounded by Unicode."""
-    counts = surveyed.filter("_kind is not null").groupBy(*(F.col(f"_{c}").alias(c) for c in ("lang", "kind", "text"))).agg(F.sum("_n").alias("n"))
+    added up over all rows; languages counted for together share evenly. A
+    dictionary is of the words that save most, as many as it holds; characters
+    are bounded by Unicode."""
+    added = surveyed.filter("_kind is not null").groupBy("_lang", "_kind", "_text").agg(F.sum("_n").alias("_n")).withColumn("_langs", F.split("_lang", ","))
+    shared = added.select(F.explode("_langs").alias("lang"), F.col("_kind").alias("kind"), F.col("_text").alias("text"), F.expr(f"_n * ({PARTS} div size(_langs))").alias("n"))
+    counts = shared.groupBy("lang", "kind", "text").agg(F.sum("n").alias("n"))
     # What a word takes in the dictionary, and what having it there saves; matches begin at four bytes.
     sized = counts.filter("kind = 'word'").withColumn("size", F.octet_length("text") + F.when(F.col("lang") == "ja", 0).otherwise(1)).filter(f"size between 4 and {WORD_BYTES}")
-    best = Window.partitionBy("lang").orderBy(((F.col("n") - 1) * F.col("size")).desc(), "text")
+    best = Window.partitionBy("lang").orderBy(((F.col("n") - PARTS) * F.col("size")).desc(), "text")
     ranked = sized.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= DICTIONARY_BYTES // 4)
     filled = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     held = ranked.withColumn("filled", filled).filter(F.col("filled") <= DICTIONARY_BYTES)
@@ -450,7 +477,7 @@ def model_of(surveyed: DataFrame) -> dict:
         if r["rank"]:
             words.setdefault(r["lang"], []).append((r["rank"], r["text"]))
         else:
-            characters.setdefault(r["lang"], {})[r["text"]] = r["n"]
+            characters.setdefault(r["lang"], {})[r["text"]] = r["n"] / PARTS
     # The words that save most come last, where they are cheapest to point at.
     out = {lang: "".join(w if lang == "ja" else f" {w}" for _, w in sorted(ws, reverse=True)).encode() for lang, ws in words.items()}
     ideographs = "".join(sorted(c for c in characters.get("ja", ()) if "㐀" <= c <= "鿿"))
@@ -458,8 +485,9 @@ def model_of(surveyed: DataFrame) -> dict:
 
 
 def train(df: DataFrame, columns: list[str]) -> dict:
-    """The model of ``columns``, from all their values."""
-    return model_of(scratch(survey(melt(df, [], columns), []), ["_lang", "_kind", "_text", "_n"]))
+    """The model of ``columns``, from all their values but those that might be
+    garbled, whether or not they tell their language."""
+    return model_of(scratch(survey(melt(df, [], columns), [], untold=True), ["_lang", "_kind", "_text", "_n"]))
 
 
 _REPAIRERS: dict[int, Repairer] = {}

@@ -150,6 +150,26 @@ def test_unify_knows_words_of_all_values(spark):
     assert lookalikes.unify(df, ["meta_id"], ["title", "site_name"]).filter("changed").count() == 0
 
 
+def test_unify_knows_words_of_values_that_tell_no_language(spark):
+    # No common word tells the language of the value that has the words; titles and names of sites are often so.
+    words = "Tranvía Señorita Peñaranda Camión Cañería Montañero Ibáñez"
+    assert len(mojibake.languages_of(words)) > 2
+    rows = [("The harbour cafe of the town", words), ("Se–orita Pe–aranda\tIb‡–ez", "Monta–ero\tPe–aranda")]
+    df = spark.createDataFrame(rows, "title string, site_name string").withColumn("meta_id", F.monotonically_increasing_id())
+    assert lookalikes.unify(df, ["meta_id"], ["title", "site_name"]).filter("changed").count() == 0
+
+
+def test_unify_counts_every_value_once(spark):
+    # Languages share a value that several fit; a disguised one counts as what it looks like, a garbled one doesn't.
+    texts = ["Quarry Observer", "Café Köppel", "Łódka", "Quarry\xa0Observer", "Музей часов", "The harbour of the town", "", " ", None]
+    model = mojibake.train(spark.createDataFrame([(t,) for t in [*texts, "CafÃ© Köppel", "a\x92b"]], "site_name string"), ["site_name"])
+    counted = model["characters"]
+    assert sum(n[""] for n in counted.values()) == pytest.approx(sum(len(t) for t in texts if t))
+    assert sum(n.get("ö", 0) for n in counted.values()) == pytest.approx(1) and counted["pl"]["Ł"] == 1
+    assert all(b" Observer" in model["dictionaries"][lang][0] for lang in ("de", "en", "es", "fr", "it", "pl", "pt"))
+    assert mojibake.Repairer(model).repair("CafÃ© Köppel")[:2] == ("restored", "Café Köppel")
+
+
 # ---- truncation
 
 
