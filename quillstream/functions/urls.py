@@ -36,7 +36,7 @@ def authority(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Host in lower case, without user and port."""
-    return F.lower(F.regexp_extract(authority(url), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
+    return _host_in(authority(url))
 
 
 def port(url: Column) -> Column:
@@ -58,7 +58,11 @@ def remove_fragment(url: Column) -> Column:
 
 def is_web(url: Column) -> Column:
     """http or https with a host, and nothing that no URL has."""
-    return scheme(url).isin("http", "https") & (host(url) != "") & ~url.rlike(r"^[^?#]*[\s<>\"{}|\\^`]")
+    return _is_web(url, scheme(url), authority(url))
+
+
+def _is_web(url: Column, scheme: Column, authority: Column) -> Column:
+    return scheme.isin("http", "https") & (_host_in(authority) != "") & ~url.rlike(r"^[^?#]*[\s<>\"{}|\\^`]")
 
 
 def encode_beyond_ascii(url: Column) -> Column:
@@ -68,9 +72,21 @@ def encode_beyond_ascii(url: Column) -> Column:
 
 
 def _tidy_authority(url: Column) -> Column:
-    user = F.regexp_extract(authority(url), r"^([^@]*@)", 1)
-    default = (scheme(url) == "http") & (port(url) == "80") | (scheme(url) == "https") & (port(url) == "443")
-    return F.concat(user, host(url), F.when((port(url) == "") | default, "").otherwise(F.concat(F.lit(":"), port(url))))
+    return _tidied(scheme(url), authority(url))
+
+
+def _tidied(scheme: Column, authority: Column) -> Column:
+    """The host in lower case, without a port that is the scheme's own."""
+    def tidy(x: Column) -> Column:
+        s, a = x["s"], x["a"]
+        user, host, port = F.regexp_extract(a, r"^([^@]*@)", 1), _host_in(a), F.regexp_extract(a, r":(\d*)$", 1)
+        return let(port, lambda p: F.concat(user, host, F.when((p == "") | (s == "http") & (p == "80") | (s == "https") & (p == "443"), "").otherwise(F.concat(F.lit(":"), p))))
+
+    return let(F.struct(scheme.alias("s"), authority.alias("a")), tidy)
+
+
+def _host_in(authority: Column) -> Column:
+    return F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
 
 
 def normalize_for_request(url: Column) -> Column:
@@ -156,7 +172,11 @@ def resolve_any(base: Column, ref: Column) -> Column:
 def resolve(base: Column, raw: Column) -> Column:
     """A link of a page against its base: null for blank ones, fragments and
     schemes that lead to no page; http and https with a host only."""
-    tidy = lambda u: F.when(is_web(u), F.concat(scheme(u), F.lit("://"), _tidy_authority(u), F.substring(u, F.length(scheme(u)) + F.length(authority(u)) + 4, F.length(u))))
+    def of_parts(x: Column) -> Column:
+        u, s, a = x["u"], x["s"], x["a"]
+        return F.when(_is_web(u, s, a), F.concat(s, F.lit("://"), _tidied(s, a), F.substring(u, F.length(s) + F.length(a) + 4, F.length(u))))
+
+    tidy = lambda u: let(F.struct(u.alias("u"), scheme(u).alias("s"), authority(u).alias("a")), of_parts)
     unfit = lambda t: (t == "") | t.startswith("#") | F.lower(t).rlike(f"^(?:{'|'.join(UNRESOLVED_SCHEMES)}):")
     return let(trimmed(raw), lambda t: F.when(~unfit(t), let(encode_beyond_ascii(resolve_any(base, t)), tidy)))
 

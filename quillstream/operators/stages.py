@@ -1,7 +1,9 @@
 """Extractor stages: elements of a page to scored candidates.
 
-Each stage is an expression over the element array of its own row, so that a
-page's candidates are made where the page is, without any exchange.
+Each stage is expressions over the element array of its own row, so that a
+page's candidates are made where the page is, without any exchange. It gives
+legs in order: the fields that a leg may tell of, and an array of candidates
+(or nulls). A field that nobody asks for is so left to the optimizer to drop.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ CANDIDATE = T.StructType([
     T.StructField("field_name", T.StringType()), T.StructField("stage_ord", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("score", T.DoubleType()),
     T.StructField("evidence", T.StringType()), T.StructField("candidate_value", T.StringType()), T.StructField("item", ITEM),
 ])
+Leg = tuple[tuple[str, ...], Column]
 STAGES = ("openGraph", "twitterCard", "standardMeta", "linkRel", "jsonLd", "oEmbed", "manifest")
 
 # Scores of fields by stage.
@@ -59,6 +62,10 @@ def candidate(field: str, stage: int, score: float | Column, value: Column | Non
     return urls.let(c, lambda x: F.when(told(x), x))
 
 
+def _legs(*candidates: tuple[str, Column]) -> list[Leg]:
+    return [((field,), F.array(c)) for field, c in candidates]
+
+
 def _of_texts(field: str, stage: int, score: float, values: Column, evidence: str) -> Column:
     return F.transform(values, lambda v: candidate(field, stage, score, v, evidence))
 
@@ -72,10 +79,10 @@ def _instant(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def open_graph(e: Column, base: Column, document: Column) -> Column:
+def open_graph(e: Column, base: Column, document: Column) -> list[Leg]:
     say = lambda p: text.clean(content(meta(e, property=p, name=p)))
     key = lambda x: F.lower(F.trim(F.coalesce(x["attrs"]["property"], x["attrs"]["name"])))
-    texts = [candidate(f, 0, OG[f], say(p), p) for f, p in (("title", "og:title"), ("description", "og:description"), ("siteName", "og:site_name"), ("locale", "og:locale"))]
+    texts = [(f, candidate(f, 0, OG[f], say(p), p)) for f, p in (("title", "og:title"), ("description", "og:description"), ("siteName", "og:site_name"), ("locale", "og:locale"))]
     canonical = candidate("canonicalUrl", 0, OG["canonicalUrl"], urls.absolute(base, say("og:url")), "og:url")
     root = urls.path(document).isin("", "/")
 
@@ -100,7 +107,10 @@ def open_graph(e: Column, base: Column, document: Column) -> Column:
     modified = candidate("modifiedAt", 0, OG["modifiedAt"], _instant(dated("article:modified_time", "og:updated_time")), "article:modified_time")
     tags = F.filter(e, lambda x: (x["tag"] == "meta") & (x["attrs"]["property"].isin("article:tag", "book:tag", "video:tag") | x["attrs"]["name"].isin("article:tag", "book:tag", "video:tag")))
     keywords = _of_texts("keywords", 0, OG["keywords"], F.array_compact(F.transform(tags, lambda x: text.clean(content(x)))), "article:tag")
-    return F.concat(F.array(*texts, canonical, kinds), images, of_media("videos", "og:video"), of_media("audios", "og:audio"), F.array(published, modified), keywords)
+    return [
+        *_legs(*texts, ("canonicalUrl", canonical), ("kind", kinds)), (("images",), images), (("videos",), of_media("videos", "og:video")), (("audios",), of_media("audios", "og:audio")),
+        *_legs(("publishedAt", published), ("modifiedAt", modified)), (("keywords",), keywords),
+    ]
 
 
 def _og_images(e: Column, base: Column, key) -> Column:
@@ -120,36 +130,39 @@ def _og_images(e: Column, base: Column, key) -> Column:
         return F.struct(done.alias("done"), F.when(is_root | (secure & o.isNull()), item(u)).when(o.isNotNull(), told).alias("open"))
 
     def read(x: Column) -> Column:
-        v = F.trim(content(x))
-        return F.struct(key(x).alias("k"), v.alias("v"), urls.absolute(base, v).alias("u"), text.lenient_int(v).cast("int").alias("n"))
+        url = F.when(x["k"].isin("og:image", "og:image:url", "og:image:secure_url"), urls.absolute(base, x["v"]))
+        return F.struct(x["k"].alias("k"), x["v"].alias("v"), url.alias("u"), F.when(x["k"].isin("og:image:width", "og:image:height"), text.lenient_int(x["v"]).cast("int")).alias("n"))
+
+    said = F.transform(hits, lambda x: F.struct(key(x).alias("k"), F.trim(content(x)).alias("v")))
 
-    return F.aggregate(F.transform(hits, read), start, fold, lambda acc: F.concat(acc["done"], F.filter(F.array(acc["open"]), lambda i: i.isNotNull())))
+    return F.aggregate(F.transform(said, read), start, fold, lambda acc: F.concat(acc["done"], F.filter(F.array(acc["open"]), lambda i: i.isNotNull())))
 
 
-def twitter_card(e: Column, base: Column) -> Column:
+def twitter_card(e: Column, base: Column) -> list[Leg]:
     say = lambda p: F.coalesce(text.clean(content(meta(e, name=p))), text.clean(content(meta(e, property=p))))
-    texts = [candidate(f, 1, TWITTER[f], say(p), p) for f, p in (("title", "twitter:title"), ("description", "twitter:description"), ("author", "twitter:creator"))]
+    texts = [(f, candidate(f, 1, TWITTER[f], say(p), p)) for f, p in (("title", "twitter:title"), ("description", "twitter:description"), ("author", "twitter:creator"))]
     image = urls.absolute(base, F.coalesce(say("twitter:image"), say("twitter:image:src")))
-    return F.array(*texts, candidate("images", 1, TWITTER["images"], it=item(image), evidence="twitter:image"), candidate("videos", 1, TWITTER["videos"], it=item(urls.absolute(base, say("twitter:player"))), evidence="twitter:player"))
+    return _legs(*texts, ("images", candidate("images", 1, TWITTER["images"], it=item(image), evidence="twitter:image")), ("videos", candidate("videos", 1, TWITTER["videos"], it=item(urls.absolute(base, say("twitter:player"))), evidence="twitter:player")))
 
 
-def standard_meta(e: Column) -> Column:
+def standard_meta(e: Column) -> list[Leg]:
     of = lambda *selectors: F.coalesce(*[text.clean(content(meta(e, **s))) for s in selectors])
     tag = lambda t: text.clean(first(e, lambda x: x["tag"] == t)["text"])
     lang = text.clean(first(e, lambda x: x["tag"] == "html")["attrs"]["lang"])
     dates = [{"name": n} for n in ("pubdate", "publish-date", "publication_date", "date", "datePublished")] + [{"itemprop": "datePublished"}, {"property": "article:published_time"}]
     changes = [{"name": n} for n in ("last-modified", "modified", "dateModified")] + [{"itemprop": "dateModified"}, {"property": "article:modified_time"}]
-    c = lambda f, v, score, ev: candidate(f, 2, STANDARD[score], v, ev)
+    c = lambda f, v, score, ev: (f, candidate(f, 2, STANDARD[score], v, ev))
     singles = [
         c("title", tag("title"), "title", "title"), c("title", tag("h1"), "h1", "h1"), c("description", of({"name": "description"}, {"property": "description"}), "description", "meta[description]"),
         c("siteName", of({"name": "application-name"}, {"name": "apple-mobile-web-app-title"}), "siteName", "meta[application-name]"), c("locale", lang, "lang", "html[lang]"),
         c("locale", of({"http_equiv": "content-language"}, {"name": "language"}), "locale", "meta[content-language]"), c("author", of({"name": "author"}, {"property": "author"}), "author", "meta[author]"),
         c("publishedAt", _instant(text.meta_date(of(*dates))), "publishedAt", "meta[date]"), c("modifiedAt", _instant(text.meta_date(of(*changes))), "modifiedAt", "meta[last-modified]"),
     ]
-    return F.concat(F.array(*singles), _of_texts("keywords", 2, STANDARD["keywords"], F.coalesce(text.split_keywords(of({"name": "keywords"})), F.array().cast("array<string>")), "meta[keywords]"))
+    keywords = _of_texts("keywords", 2, STANDARD["keywords"], F.coalesce(text.split_keywords(of({"name": "keywords"})), F.array().cast("array<string>")), "meta[keywords]")
+    return [*_legs(*singles), (("keywords",), keywords)]
 
 
-def link_rel(e: Column, base: Column, links: bool = True, oembed: bool = True, manifest: bool = True) -> Column:
+def link_rel(e: Column, base: Column, links: bool = True, oembed: bool = True, manifest: bool = True) -> list[Leg]:
     """Of each link the first kind that fits, even where its URL doesn't."""
     hits = F.filter(e, lambda x: (x["tag"] == "link") & (F.trim(x["attrs"]["rel"]) != "") & (F.trim(x["attrs"]["href"]) != ""))
 
@@ -167,7 +180,7 @@ def link_rel(e: Column, base: Column, links: bool = True, oembed: bool = True, m
             .when(F.lit(links) & F.exists(rel, lambda t: t.contains("icon")), icon)
         )
 
-    return F.transform(hits, one)
+    return [(("canonicalUrl", "manifestUrls", "oembedEndpoints", "icons"), F.transform(hits, one))]
 
 
 # Kinds that types of linked data stand for, the first group that
@@ -292,27 +305,38 @@ def _graph(nodes: pd.Series, base: pd.Series, document: pd.Series) -> pd.Series:
     return pd.Series([graph_candidates(list(n) if n is not None else [], b or "", d or "") for n, b, d in zip(nodes, base, document, strict=True)], dtype=object)
 
 
-def linked_data(graph: Column, base: Column, document: Column) -> Column:
+def linked_data(graph: Column, base: Column, document: Column) -> list[Leg]:
     """Candidates of a page's graph; times are read here, and those that say
     none are dropped, so that the next key of a node counts."""
     raw = _graph.asNondeterministic()(graph["nodes"], base, document)
     dated = lambda c: c["field_name"].isin("publishedAt", "modifiedAt")
     read = lambda c: _instant(text.graph_date(F.substring(c["candidate_value"], F.lit(2), F.length(c["candidate_value"])), c["candidate_value"].startswith("s")))
     fixed = F.transform(raw, lambda c: F.when(dated(c), c.withField("candidate_value", read(c))).otherwise(c))
-    return F.filter(fixed, lambda c: c["candidate_value"].isNotNull() | c["item"].isNotNull())
+    return [(tuple(dict.fromkeys(f for f in GRAPH if f != "embeds")), F.filter(fixed, lambda c: c["candidate_value"].isNotNull() | c["item"].isNotNull()))]
 
 
-def all_stages(e: Column, base: Column, document: Column, graph: Column | None = None, skip: frozenset[str] = frozenset()) -> Column:
-    """The candidates of every stage that isn't skipped, in stage order."""
-    legs = []
+def all_legs(e: Column, base: Column, document: Column, graph: Column | None = None, skip: frozenset[str] = frozenset()) -> list[Leg]:
+    """The legs of every stage that isn't skipped, in stage order."""
+    legs: list[Leg] = []
     if "openGraph" not in skip:
-        legs.append(open_graph(e, base, document))
+        legs += open_graph(e, base, document)
     if "twitterCard" not in skip:
-        legs.append(twitter_card(e, base))
+        legs += twitter_card(e, base)
     if "standardMeta" not in skip:
-        legs.append(standard_meta(e))
+        legs += standard_meta(e)
     if "linkRel" not in skip:
-        legs.append(link_rel(e, base))
+        legs += link_rel(e, base)
     if graph is not None and "jsonLd" not in skip:
-        legs.append(linked_data(graph, base, document))
-    return F.array_compact(F.concat(*legs)) if legs else F.array().cast(T.ArrayType(CANDIDATE))
+        legs += linked_data(graph, base, document)
+    return legs
+
+
+def candidates(legs: list[Leg]) -> Column:
+    """The candidates of legs in their order."""
+    return F.array_compact(F.concat(*[values for _, values in legs])) if legs else F.array().cast(T.ArrayType(CANDIDATE))
+
+
+def candidates_for(legs: list[Leg], field: str) -> Column:
+    """As ``candidates``, those of one field; other legs aren't looked at."""
+    mine = [(names, values if names == (field,) else F.filter(values, lambda c: c["field_name"] == field)) for names, values in legs if field in names]
+    return candidates(mine)

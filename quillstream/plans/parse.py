@@ -30,56 +30,82 @@ class Options:
 def candidates_of(df: DataFrame, html_col: str = "html", url_col: str = "url", options: Options = Options()) -> DataFrame:
     """``df`` with ``elements``, ``base_url``, ``graph`` and ``candidates``
     (array in order of appearance): one tokenizer pass and no exchange."""
+    read, legs = _read(df, html_col, url_col, options)
+    # The generator keeps the stages from being planned once for each field.
+    return read.select("*", F.explode(F.array(stages.candidates(legs))).alias("candidates"))
+
+
+def _read(df: DataFrame, html_col: str, url_col: str, options: Options) -> tuple[DataFrame, list[stages.Leg]]:
+    """``df`` with ``elements``, ``base_url`` and ``graph``, and the legs of
+    the stages over them."""
     e = df.withColumn("elements", html.html_elements(F.col(html_col)))
     b = e.withColumn("base_url", html.base_url(F.col("elements"), F.col(url_col)))
     g = b.withColumn("graph", linked_data.graph_of(F.col("elements")))
     graph = None if "jsonLd" in options.skip else F.col("graph")
-    made = stages.all_stages(F.col("elements"), F.col("base_url"), F.col(url_col), graph, options.skip)
-    # The generator keeps the stages from being planned once for each field.
-    return g.select("*", F.explode(F.array(made)).alias("candidates"))
+    return g, stages.all_legs(F.col("elements"), F.col("base_url"), F.col(url_col), graph, options.skip)
+
+
+def _candidates_by_field(df: DataFrame, html_col: str, url_col: str, options: Options) -> DataFrame:
+    """``df`` with what ``candidates_of`` gives, but the candidates of each
+    field in a column of their own (``_of_``), so that those of fields which
+    the reader doesn't select are never made. Legs that tell of several fields
+    stand in a column once."""
+    read, legs = _read(df, html_col, url_col, options)
+    shared = {i: f"_leg_{i}" for i, (names, _) in enumerate(legs) if len(names) > 1}
+    out = read.select("*", *[legs[i][1].alias(name) for i, name in shared.items()])
+    legs = [(names, F.col(shared[i]) if i in shared else values) for i, (names, values) in enumerate(legs)]
+    fields = dict.fromkeys([*SCALARS, *dict(options.limits)])
+    return out.select("*", *[stages.candidates_for(legs, f).alias(f"_of_{f}") for f in fields]).drop(*shared.values())
 
 
-def _best(candidates: Column, field: str) -> Column:
+def _finite(candidates: Column) -> Column:
+    return F.filter(candidates, lambda c: c["score"].isNotNull() & ~F.isnan(c["score"]) & (F.abs(c["score"]) < float("inf")))
+
+
+def _best(mine: Column) -> Column:
     """The winner of a field: highest finite score, then first. Ties keep
     the order of the array, as a later one has to be greater."""
-    mine = F.filter(candidates, lambda c: (c["field_name"] == field) & c["score"].isNotNull() & ~F.isnan(c["score"]) & (F.abs(c["score"]) < float("inf")))
-    start = F.get(mine, F.lit(0))
-    return F.aggregate(mine, start, lambda acc, c: F.when(c["score"] > acc["score"], c).otherwise(acc))
+    return urls.let(_finite(mine), lambda m: F.aggregate(m, F.get(m, F.lit(0)), lambda acc, c: F.when(c["score"] > acc["score"], c).otherwise(acc)))
 
 
-def _collection(candidates: Column, field: str, limit: int) -> Column:
+def _collection(mine: Column, field: str, limit: int) -> Column:
     """Items of a collection by rank, the first of each key, merged."""
     if limit <= 0:
         return F.array().cast("array<string>") if field == "keywords" else F.array().cast(stages.T.ArrayType(stages.ITEM))
-    mine = F.transform(F.filter(candidates, lambda c: (c["field_name"] == field) & c["score"].isNotNull() & ~F.isnan(c["score"]) & (F.abs(c["score"]) < float("inf"))), lambda c, i: F.struct((-c["score"]).alias("s"), i.alias("i"), c.alias("c")))
-    ranked = F.transform(F.array_sort(mine), lambda x: x["c"])
-    if field == "keywords":
+    numbered = F.transform(_finite(mine), lambda c, i: F.struct((-c["score"]).alias("s"), i.alias("i"), c.alias("c")))
+    ranked = F.transform(F.array_sort(numbered), lambda x: x["c"])
+
+    def words(ranked: Column) -> Column:
         keys = F.transform(ranked, lambda c: F.lower(F.trim(c["candidate_value"])))
-        kept = F.filter(F.transform(ranked, lambda c, i: F.when(F.array_position(keys, F.lower(F.trim(c["candidate_value"]))) == i + 1, c["candidate_value"])), lambda v: v.isNotNull())
-        return F.slice(kept, 1, limit)
-    keys = F.slice(F.array_distinct(F.transform(ranked, lambda c: c["item"]["url"])), 1, limit)
+        firsts = lambda keys: F.transform(ranked, lambda c, i: F.when(F.array_position(keys, F.get(keys, i)) == i + 1, c["candidate_value"]))
+        return F.slice(F.filter(urls.let(keys, firsts), lambda v: v.isNotNull()), 1, limit)
+
+    def items(ranked: Column) -> Column:
+        keys = F.slice(F.array_distinct(F.transform(ranked, lambda c: c["item"]["url"])), 1, limit)
+
+        def merged(key: Column, same: Column) -> Column:
+            known = lambda a: F.get(F.filter(F.transform(same, lambda c: c["item"][a]), lambda v: v.isNotNull()), F.lit(0))
+            return stages.item(key, **{f.name: known(f.name) for f in stages.ITEM.fields if f.name != "url"})
 
-    def merged(key: Column) -> Column:
-        same = F.filter(ranked, lambda c: c["item"]["url"] == key)
-        known = lambda a: F.get(F.filter(F.transform(same, lambda c: c["item"][a]), lambda v: v.isNotNull()), F.lit(0))
-        return stages.item(key, **{f.name: known(f.name) for f in stages.ITEM.fields if f.name != "url"})
+        return F.transform(keys, lambda key: urls.let(F.filter(ranked, lambda c: c["item"]["url"] == key), lambda same: merged(key, same)))
 
-    return F.transform(keys, merged)
+    return urls.let(ranked, words if field == "keywords" else items)
 
 
-def assemble(df: DataFrame, options: Options = Options()) -> DataFrame:
-    """Metadata columns from ``candidates``: the winners, the collections,
-    ``provenance`` (field to source and score) and ``is_empty``."""
+def assemble(df: DataFrame, options: Options = Options(), by_field: bool = False) -> DataFrame:
+    """Metadata columns from ``candidates``, or from columns of them by field: the
+    winners, the collections, ``provenance`` (field to source and score) and
+    ``is_empty``."""
     limits = dict(options.limits)
-    c = F.col("candidates")
+    of = lambda f: F.col(f"_of_{f}") if by_field else F.filter("candidates", lambda c: c["field_name"] == f)
     names = {"canonicalUrl": "canonical_url", "siteName": "site_name", "publishedAt": "published_at", "modifiedAt": "modified_at", "structuredData": "structured_data_key"}
-    best = df.select("*", *[_best(c, f).alias(f"_best_{f}") for f in SCALARS])
+    best = df.select("*", *[_best(of(f)).alias(f"_best_{f}") for f in SCALARS])
     out = best.select(
         "*", *[F.col(f"_best_{f}")["candidate_value"].alias(names.get(f, f)) for f in SCALARS if f not in ("publishedAt", "modifiedAt", "kind")],
         *[F.col(f"_best_{f}")["candidate_value"].try_cast("timestamp").alias(names[f]) for f in ("publishedAt", "modifiedAt")], F.coalesce(F.col("_best_kind")["candidate_value"], F.lit("unknown")).alias("kind"),
-        *[_collection(c, f, limits[f]).alias(f) for f in limits],
+        *[_collection(of(f), f, limits[f]).alias(f) for f in limits],
         F.filter(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"_best_{f}")["source"].alias("source"), F.col(f"_best_{f}")["score"].alias("score")) for f in SCALARS]), lambda p: p["source"].isNotNull()).alias("provenance"),
-    ).drop(*[f"_best_{f}" for f in SCALARS])
+    ).drop(*[f"_best_{f}" for f in SCALARS], *[f"_of_{f}" for f in (*SCALARS, *limits) if by_field])
     return out.withColumn("is_empty", F.size("provenance") + sum((F.size(f) for f in limits), F.lit(0)) == 0)
 
 
@@ -113,11 +139,11 @@ def retryable(code: Column, status: Column, reason: Column) -> Column:
 def parse_html(pages: DataFrame, html_col: str = "html", url_col: str = "url", options: Options = Options()) -> DataFrame:
     """Metadata of HTML texts: the other columns of ``pages``, the metadata,
     ``warnings`` and ``status``. Null or empty texts give empty metadata."""
-    made = assemble(candidates_of(pages, html_col, url_col, options), options)
+    made = assemble(_candidates_by_field(pages, html_col, url_col, options), options, by_field=True)
     made = made.withColumn("warnings", graph_warnings(F.col("graph"))).withColumn("status", status_of(F.array(), F.col("warnings")))
     if options.raw:
         made = made.withColumn("raw", html.raw_metadata(F.col("elements")))
-    return made.drop("elements", "graph", "candidates")
+    return made.drop("elements", "graph")
 
 
 def parse_response(responses: DataFrame, options: Options = Options()) -> DataFrame:
@@ -128,10 +154,10 @@ def parse_response(responses: DataFrame, options: Options = Options()) -> DataFr
     cut = responses.withColumn("_h", header(F.col("headers"), "content-type")).withColumn("truncated", F.lit(limit > 0) & (F.octet_length("body") > limit)).withColumn("_b", F.substring("body", F.lit(1), F.lit(max(limit, 0))))
     decoded = cut.withColumn("_d", charset.decode_body(F.col("_b"), F.col("_h")))
     pages = decoded.select(*responses.columns, "truncated", F.col("_d.text").alias("html"), F.col("_d.charset").alias("charset"), F.col("_d.charset_source").alias("charset_source"))
-    made = assemble(candidates_of(pages, "html", "url", options), options)
+    made = assemble(_candidates_by_field(pages, "html", "url", options), options, by_field=True)
     first = read_warnings(F.col("truncated"), F.col("charset_source"))
     warned = made.withColumn("warnings", F.concat(first, graph_warnings(F.col("graph"))))
-    return warned.withColumn("status", status_of(F.array(), F.col("warnings"))).drop("elements", "graph", "candidates", "html", "_h", "_b", "_d")
+    return warned.withColumn("status", status_of(F.array(), F.col("warnings"))).drop("elements", "graph", "html", "_h", "_b", "_d")
 
 
 def terminal_check(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import cache, enrich, nested, ranking, redirects, stages, timestamps
-from ..session import table
+from ..session import spread, table
 from ..sources import charset, html, linked_data
 from . import parse
 from .extract import extract_batch
@@ -201,7 +201,8 @@ def open_graph_images(spark, d):
     """Pages of parts with grouped image properties, read back."""
     key = F.col("p_partkey").cast("string")
     page = F.concat(F.lit('<meta property="og:image" content="/a/'), key, F.lit('.png"><meta property="og:image:width" content="'), F.col("p_size").cast("string"), F.lit('"><meta property="og:image:alt" content="one"><meta property="og:image" content="b/'), key, F.lit('.png"><meta property="og:image:height" content="7">'))
-    pages = table(spark, d, "part").select("p_partkey", F.lit("https://p.example/x/y").alias("url"), page.alias("html"))
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    pages = parts.select("p_partkey", F.lit("https://p.example/x/y").alias("url"), page.alias("html"))
     made = parse.parse_html(pages, options=parse.Options(skip=frozenset({"jsonLd"})))
     return made.select("p_partkey", F.posexplode("images").alias("place", "i")).select("p_partkey", "place", "i.url", "i.width", "i.height", "i.alt")
 

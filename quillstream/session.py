@@ -58,6 +58,12 @@ def melt(df: DataFrame, keys: list[str], fields: list[str], value: str = "raw")
     return df.select(*keys, cell).select(*keys, "_cell.field_name", f"_cell.{value}")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, for narrow rows that make
+    much work each: a few MB of them are read by one task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 #: Tasks that the rows of one key of ``salted_join`` are spread over.
 SALTS = 16
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +26,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(text):
-        value = next((g for g in m.groups()[1:] if g is not None), "")
-        out.setdefault(m.group(1).lower(), html.unescape(value))  # of repeated ones the first counts
+        name, *values = m.groups()
+        out.setdefault(name.lower(), html.unescape(values[0] or values[1] or values[2] or ""))  # of repeated ones the first counts
     return out
 
 
@@ -68,9 +68,20 @@ def tokenize(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ELEMENT)
-def _elements(texts: pd.Series) -> pd.Series:
-    return pd.Series([tokenize(t) for t in texts], dtype=object)
+@F.arrow_udf(ELEMENT)
+def _elements(texts: pa.Array) -> pa.Array:
+    """The elements as flat columns with offsets, not as an object for each."""
+    ends, found = [0], []
+    for t in texts.to_pylist():
+        found += tokenize(t)
+        ends.append(len(found))
+    attrs, stops = [e["attrs"] for e in found], [0]
+    for a in attrs:
+        stops.append(stops[-1] + len(a))
+    text = lambda values: pa.array(values, pa.string())
+    maps = pa.MapArray.from_arrays(pa.array(stops, pa.int32()), text([k for a in attrs for k in a]), text([v for a in attrs for v in a.values()]))
+    columns = [pa.array([e["idx"] for e in found], pa.int32()), text([e["tag"] for e in found]), maps, text([e["text"] for e in found])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["idx", "tag", "attrs", "text"]))
 
 
 def html_elements(text: Column) -> Column:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillstream.functions import text, urls
 from quillstream.operators import cache, ranking, redirects
-from quillstream.plans import extract, parse
+from quillstream.plans import extract, parse, queries
 from quillstream.sources import charset, html, linked_data
 
 
@@ -83,6 +83,27 @@ def test_page(spark):
     assert rows[2]["is_empty"] and rows[3]["title"] is None
 
 
+def test_fields_not_asked_for_are_not_made(spark):
+    page = '<meta property="og:image" content="a.png"><meta property="og:image:alt" content="x"><meta name="twitter:image" content="/a.png"><meta name="twitter:image" content="/b.png"><link rel=icon href=i.png>'
+    made = parse.parse_html(spark.createDataFrame([(1, "https://e.example/", page)], "id int, url string, html string")).select("images")
+    shown = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", shown)
+    assert "og:image" in plan and "twitter:image" in plan and [t for t in ("og:description", "twitter:title", "html[lang]", "link[rel=icon]", "article:tag") if t in plan] == []
+    assert [(i["url"], i["alt"]) for i in made.collect()[0]["images"]] == [("https://e.example/a.png", "x")]
+
+
+def test_pages_of_parts_are_spread(spark, tmp_path):
+    spark.range(1, 201).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = queries.open_graph_images(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(made) == 400 and len({r["task"] for r in made}) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    k7 = sorted((r["place"], r["url"], r["width"], r["height"], r["alt"]) for r in made if r["p_partkey"] == 7)
+    assert k7 == [(0, "https://p.example/a/7.png", 7, None, "one"), (1, "https://p.example/x/b/7.png", None, 7, None)]
+
+
 def test_ranking(spark):
     item = "struct<url: string, width: int, height: int, mime_type: string, alt: string, byte_size: bigint>"
     i = lambda u, w=None, h=None, a=None: (u, w, h, None, a, None)
